@@ -9,12 +9,13 @@ the same watermark, so nothing is skipped and nothing is repeated.
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.commitlog import CommitLog
+
 LOWEST = -(1 << 62)
 #: Stores whose watermarks may be broadcast: some 60 bytes each, so 12 MB.
 BROADCAST_STORES = 200_000
@@ -106,52 +107,19 @@ def advanced(log: DataFrame, marks: DataFrame, upto: int) -> DataFrame:
 
 
 class RunStore:
-    """Outputs and watermarks of runs below one folder, published by commit files.
-
-    ``commits/<n>.json`` names the folder of run n. Creating that file is the
-    only step that makes a run visible; it fails if another run took the number.
-    """
+    """Outputs and watermarks of runs below one folder, published by commit files."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._Path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def commits(self) -> list[int]:
-        at = self._Path(f"{self.path}/commits")
-        if not self._fs.exists(at):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(at)]
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
-
-    def entry(self, n: int) -> dict:
-        stream = self._fs.open(self._Path(f"{self.path}/commits/{n}.json"))
-        try:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return json.loads(text)
-
-    def publish(self, n: int, entry: dict) -> None:
-        """Create commit ``n``; raises if it is there."""
-        self._fs.mkdirs(self._Path(f"{self.path}/commits"))
-        temporary = self._Path(f"{self.path}/commits/.{uuid.uuid4().hex}")
-        final = self._Path(f"{self.path}/commits/{n}.json")
-        out = self._fs.create(temporary, True)
-        out.write(bytearray(json.dumps(entry).encode()))
-        out.close()
-        if self._fs.exists(final) or not self._fs.rename(temporary, final):
-            self._fs.delete(temporary, False)
-            raise RuntimeError(f"run {n} was committed by another writer")
+        self.log = CommitLog(spark, f"{self.path}/commits")
 
     def marks(self) -> DataFrame | None:
         """Watermarks of the last committed run."""
-        done = self.commits()
-        return self.spark.read.parquet(f"{self.path}/{self.entry(done[-1])['run']}/marks") if done else None
+        _, entry = self.log.latest()
+        return self.spark.read.parquet(f"{self.path}/{entry['run']}/marks") if entry else None
 
     def output(self, n: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.entry(n)['run']}/output")
+        return self.spark.read.parquet(f"{self.path}/{self.log.read(n)['run']}/output")
 
     def run(self, log: DataFrame, first_marks: DataFrame, fail_before_commit: bool = False) -> int:
         """Process what is new, commit output and watermark as one, return the run's number.
@@ -160,15 +128,14 @@ class RunStore:
         own run history gives; every later one from the feed position that the
         last commit names.
         """
-        done = self.commits()
-        marks = first_marks if not done else self.marks()
+        done, last = self.log.latest()
+        marks = self.marks() if last else first_marks
         upto = upper_limit(log)
         folder = f"run-{uuid.uuid4().hex}"
-        due = arrived_entries(log, marks, self.entry(done[-1])["upto"], upto) if done else changed_entries(log, marks, upto)
+        due = arrived_entries(log, marks, last["upto"], upto) if last else changed_entries(log, marks, upto)
         due.write.parquet(f"{self.path}/{folder}/output")
         advanced(log, marks, upto).write.parquet(f"{self.path}/{folder}/marks")
         if fail_before_commit:
             raise RuntimeError("stopped before the commit")
-        n = (done[-1] if done else 0) + 1
-        self.publish(n, {"run": folder, "upto": upto})
-        return n
+        self.log.publish(done + 1, {"run": folder, "upto": upto})
+        return done + 1
