@@ -49,34 +49,25 @@ def live_rows(feed: DataFrame, base: DataFrame | None = None) -> DataFrame:
         kept = base.select("store_id", "term", "index", F.lit("PUT").alias("op"), "key", "value", "seq")
         feed = feed.select(*kept.columns).unionByName(kept)
     block = F.shiftright("index", BLOCK_BITS)
-    entries = entries_in_force(feed).select("store_id", "key", block.alias("block"), "index", "put", "value").repartition("store_id", "key", "block")
-
+    entries = entries_in_force(feed).select("store_id", "key", block.alias("block"), "index", "put", "value")
     order = Window.partitionBy("store_id", "key", "block").orderBy("index")
-    before = F.lag(F.when(F.col("put"), F.col("index"))).over(order)
     after = F.when(F.col("put"), F.col("index"))
-    images = F.array(F.struct(after.alias("index"), F.lit(1).alias("copies"), F.col("value").alias("value")), F.struct(F.col("before").alias("index"), F.lit(-1).alias("copies"), F.lit(None).cast("string").alias("value")))
-    group = ("store_id", "key", "block", "index")
+    # A removal that ends a block puts a copy of nothing: it tells that the block was there.
+    images = F.array(
+        F.when(F.col("put") | F.col("ends"), F.struct(after.alias("index"), F.lit(1).alias("copies"), "value")),
+        F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("index"), F.lit(-1).alias("copies"), F.lit(None).cast("string").alias("value"))),
+    )
     inside = (
-        entries.withColumn("before", before)
-        .select("store_id", "key", "block", F.explode(images).alias("i"))
-        .where("i.index IS NOT NULL")
-        .select("store_id", "key", "block", "i.index", "i.copies", "i.value")
-        .groupBy(*group)
-        .agg(F.sum("copies").alias("copies"), F.max("value").alias("value"))
+        entries.withColumns({"before": F.lag(after).over(order), "ends": F.lead("index").over(order).isNull()})
+        .select("store_id", "key", "block", F.explode(F.array_compact(images)).alias("i"))
+        .groupBy("store_id", "key", "block", "i.index")
+        .agg(F.sum("i.copies").alias("copies"), F.max("i.value").alias("value"))
         .where("copies <> 0")
     )
     # The first change of a block takes away what the key's block before it left.
-    left = entries.groupBy("store_id", "key", "block").agg(F.max(F.struct("index", "put")).alias("last"))
-    earlier = F.lag(F.struct("block", "last")).over(Window.partitionBy("store_id", "key").orderBy("block"))
-    across = (
-        left.select("store_id", "key", earlier.alias("e"))
-        .where("e.last.put")
-        .select("store_id", "key", F.col("e.block").alias("block"), F.col("e.last.index").alias("index"), F.lit(-1).cast("long").alias("copies"), F.lit(None).cast("string").alias("value"))
-    )
+    newest = F.max("block").over(Window.partitionBy("store_id", "key"))
     return (
-        inside.unionByName(across)
-        .groupBy(*group)
-        .agg(F.sum("copies").alias("copies"), F.max("value").alias("value"))
-        .where("copies > 0")
+        inside.withColumn("copies", F.col("copies") - F.when(newest > F.col("block"), 1).otherwise(0))
+        .where("index IS NOT NULL AND copies > 0")
         .select("store_id", "key", "index", "value")
     )
