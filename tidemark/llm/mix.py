@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.scratch import cut
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 VOCABULARY_BYTES = 8 << 20  # what may be sent to every task
 # Fixed value: how the vocabulary's texts are split before pairs are merged.
@@ -96,7 +98,8 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     spark = documents.sparkSession
     plan = spark.createDataFrame([(s, *t) for s, t in wanted.items()], "source string, share double, passes int")
     # The targets are one row per listed source, read from a table that was given whole.
-    rows = documents.where("tokens > 0").select("doc_id", "source", "tokens").join(F.broadcast(plan), "source")
+    # Sizes are written once, as the texts must not be split into tokens for each sum below.
+    rows = cut(documents.where("tokens > 0").select("doc_id", "source", "tokens").join(F.broadcast(plan), "source"))
     found = {r.source: (r.n, r.tokens) for r in rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).toLocalIterator()}
     sizes = {s: t for s, (_, t) in found.items()}
     budget = sum(sizes.values()) if total_tokens is None else total_tokens
@@ -121,7 +124,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     within = F.sum("tokens").over(Window.partitionBy(*lane).orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     finish = ((F.col("copy") - 1) * F.col("size") + F.col("ahead") + F.col("within")) / F.col("share")
     timed = copies.withColumn("within", within).join(ahead, list(lane)).select("doc_id", "copy", "source", "tokens", finish.alias("finish_time")).where(F.col("finish_time") <= bound if math.isfinite(bound) else F.lit(True))
-    return _cut(timed, budget).orderBy("finish_time", "source", "doc_id", "copy")
+    return _cut(cut(timed), budget).orderBy("finish_time", "source", "doc_id", "copy")
 
 
 def _cut(timed: DataFrame, budget: int) -> DataFrame:
