@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.scratch import cut
+
 # A letter, and letters of other scripts with the same shape.
 SAME_SHAPE = {
     "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "F": "Ϝ", "G": "Ԍ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜ",
@@ -148,9 +150,9 @@ def forms(documents: DataFrame) -> DataFrame:
 
 
 def _marked(documents: DataFrame) -> DataFrame:
-    """``doc_id`` with 128-bit hashes of the form and of the text itself."""
+    """``doc_id`` with 128-bit hashes of the form and of the text itself, written once."""
     both = forms(documents).where("text IS NOT NULL")
-    return both.select("doc_id", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("text")).alias("raw"))
+    return cut(both.select("doc_id", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("text")).alias("raw")))
 
 
 def classes(documents: DataFrame) -> DataFrame:
