@@ -33,6 +33,9 @@ def power(a: np.ndarray, n: int) -> np.ndarray:
 
 
 def inverse(a: np.ndarray) -> np.ndarray:
+    """Inverses; of 0 it is 0. A few are cheaper one by one than by some 120 array products."""
+    if a.size < 500:
+        return np.array([pow(x, -1, P) if x else 0 for x in map(int, a.ravel())], np.uint64).reshape(a.shape)
     return power(a, P - 2)
 
 

@@ -28,6 +28,7 @@ from tidemark.scratch import cut
 ROWS_PER_BUCKET = 32
 FIRST_BOUND, LAST_BOUND = 4, 64
 CHECKS = 2
+BUCKETS_PER_TASK = 1 << 15
 ROW_BITS = 41
 SKETCH = "bucket long, n int, points array<long>"
 SKETCH_ARROW = pa.schema([("bucket", pa.int64()), ("n", pa.int32()), ("points", pa.list_(pa.int64()))])
@@ -69,22 +70,23 @@ def _lists(side: DataFrame) -> DataFrame:
     return side.groupBy("bucket").agg(F.collect_set("hash").alias("hashes"))
 
 
-def sketches(side: DataFrame, bound: int) -> DataFrame:
-    """One row per bucket of a ``hashed`` side: number of rows, values of its polynomial."""
-    return _lists(side).mapInArrow(_evaluate(bound), SKETCH)
+def sketches(lists: DataFrame, bound: int) -> DataFrame:
+    """One row per bucket ``(bucket, hashes)``: number of rows, values of its polynomial."""
+    return lists.mapInArrow(_evaluate(bound), SKETCH)
 
 
-def recover(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, z: np.ndarray) -> tuple[list[list[int]], np.ndarray]:
+def recover(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, z: np.ndarray, least: int = 1) -> tuple[list[list[int]], np.ndarray]:
     """Differing hashes of each bucket, and which buckets were solved.
 
-    ``n``, ``m`` are the numbers of rows on the sides, ``a``, ``b`` the values at ``z``.
+    ``n``, ``m`` are the numbers of rows on the sides, ``a``, ``b`` the values
+    at ``z``. Fewer than ``least`` differences have been ruled out before.
     """
     found: list[list[int]] = [[] for _ in n]
     usable = (a != 0).all(1) & (b != 0).all(1)
     solved = usable & (n == m) & (a == b).all(1)
     f = field.mul(a, field.inverse(b))
     bound = len(z) - CHECKS
-    for total in range(1, bound + 1):
+    for total in range(least, bound + 1):
         for more in range(-total, total + 1, 2):
             at = np.flatnonzero(usable & ~solved & (n - m == more))
             if not len(at):
@@ -115,7 +117,7 @@ def _decode(bound: int):
 
         for b in batches:
             n, m = (b.column(c).fill_null(0).to_numpy().astype(np.int64) for c in ("n", "m"))
-            found, solved = recover(n, m, points(b.column("a")), points(b.column("b")), z)
+            found, solved = recover(n, m, points(b.column("a")), points(b.column("b")), z, 1 if bound == FIRST_BOUND else bound // 2 + 1)
             bucket = b.column("bucket").to_pylist()
             rows = [(bucket[i], h) for i, hs in enumerate(found) for h in hs] + [(bucket[i], None) for i in np.flatnonzero(~solved)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], schema=FOUND_ARROW)
@@ -123,7 +125,7 @@ def _decode(bound: int):
     return run
 
 
-def differing_hashes(left: DataFrame, right: DataFrame) -> DataFrame:
+def differing_hashes(left: DataFrame, right: DataFrame, n_buckets: int) -> DataFrame:
     """``bucket, hash`` of the rows that only one of two ``hashed`` sides has.
 
     The bound starts at ``FIRST_BOUND`` and doubles for the buckets not solved.
@@ -131,19 +133,23 @@ def differing_hashes(left: DataFrame, right: DataFrame) -> DataFrame:
     more than ``LAST_BOUND`` differences in ``ROWS_PER_BUCKET`` or so rows saves
     nothing by a sketch: the hashes of these are compared as they are.
     """
+    # Each side's hashes by bucket are written once, 8 bytes a row, so later rounds neither scan nor shuffle it again.
+    sides = [cut(_lists(s)) for s in (left, right)]
+    tasks = max(left.sparkSession.sparkContext.defaultParallelism, n_buckets // BUCKETS_PER_TASK)
     results, bound, open_ = [], FIRST_BOUND, None
     while bound <= LAST_BOUND:
-        l, r = (sketches(s if open_ is None else s.join(open_, "bucket", "left_semi"), bound) for s in (left, right))
+        l, r = (sketches(s if open_ is None else s.join(open_, "bucket", "left_semi"), bound) for s in sides)
         both = l.withColumnRenamed("points", "a").join(r.select("bucket", F.col("n").alias("m"), F.col("points").alias("b")), "bucket", "full")
         apart = F.col("n").isNull() | F.col("m").isNull() | (F.col("n") != F.col("m")) | (F.col("a") != F.col("b"))
-        found = cut(both.where(apart).mapInArrow(_decode(bound), FOUND))
+        # Little data but much to compute: spread evenly, whatever the partitions' sizes.
+        found = cut(both.where(apart).repartition(tasks).mapInArrow(_decode(bound), FOUND))
         results.append(found.where("hash IS NOT NULL"))
         open_ = found.where("hash IS NULL").select("bucket")
         if open_.isEmpty():
             break
         bound *= 2
     else:
-        l, r = (_lists(s.join(open_, "bucket", "left_semi")) for s in (left, right))
+        l, r = (s.join(open_, "bucket", "left_semi") for s in sides)
         none = F.array().cast("array<long>")
         a, b = F.coalesce("hashes", none), F.coalesce("other", none)
         listed = l.join(r.withColumnRenamed("hashes", "other"), "bucket", "full")
@@ -172,7 +178,7 @@ def differences(left: DataFrame, right: DataFrame, names: tuple[str, str] = ("le
     bits = bucket_bits(max(s.count() for s in sides))
     sides = [hashed(s, bits) for s in sides]
     place = (F.shiftleft("bucket", 20) + F.shiftright("hash", ROW_BITS)).alias("place")
-    places = differing_hashes(*(s.select("bucket", "hash") for s in sides)).select(place).distinct()
+    places = differing_hashes(*(s.select("bucket", "hash") for s in sides), 1 << bits).select(place).distinct()
     fetched = [s.withColumn("place", place).join(places, "place", "left_semi").select(*columns, F.lit(i).alias("side")) for i, s in enumerate(sides)]
     row = F.struct("seq", "op", "value")
     both = fetched[0].unionByName(fetched[1]).groupBy("store_id", "key").agg(F.max(F.when(F.col("side") == 0, row)).alias("l"), F.max(F.when(F.col("side") == 1, row)).alias("r"))
