@@ -110,7 +110,8 @@ class Transducer:
 
     def __init__(self) -> None:
         self.table = build_table()
-        self.marks = _class(i for i in range(0x300, 0x20000) if unicodedata.category(chr(i))[0] == "M")
+        # Marks, and what has the form of a mark, as the half-width sound marks.
+        self.marks = _class(i for i in range(0x300, 0x20000) if unicodedata.category(self.table.get(chr(i), chr(i))[:1] or "x")[0] == "M")
         self.invisible = _class(i for i in range(sys.maxunicode + 1) if i < 0x20000 or i >= 0xE0000 if _is_invisible(chr(i)))
         single = _class(ord(c) for c in self.table if len(c) == 1)
         # Longest first: a cluster with its marks, a run of conjoining letters, a line end, one character.

@@ -82,6 +82,18 @@ def finish_level(sizes: dict[str, int], targets: dict[str, tuple[float, int]], b
     return math.inf
 
 
+def largest_exact_total(sizes: dict[str, int], targets: dict[str, tuple[float, int]]) -> int:
+    """The most tokens at which every source that has documents still gives its share."""
+    return math.floor(min((sizes[s] * passes / share for s, (share, passes) in targets.items() if sizes.get(s) and passes), default=0))
+
+
+def source_sizes(documents: DataFrame, targets: DataFrame) -> dict[str, int]:
+    """Tokens of each listed source."""
+    listed = targets.select(F.lower(F.btrim("source")).alias("source")).distinct()
+    sums = documents.join(F.broadcast(listed), "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    return {r.source: r.tokens for r in sums.toLocalIterator()}
+
+
 def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 0) -> DataFrame:
     """The mixture in order: ``doc_id, copy, source, tokens, finish_time``.
 
