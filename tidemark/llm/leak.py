@@ -72,7 +72,7 @@ class Words:
         return [m.span() for m in self._word.finditer(text) if self.coarse(m[0])]
 
     def split(self, text: str) -> list[str]:
-        return [w for w in self._word.findall(text) if self.coarse(w)]
+        return [w for w in self._word.findall(text) if w.isascii() or self.coarse(w)]
 
     def _fine_of(self, word: str) -> str:
         return unicodedata.normalize("NFD", self._form(word))
