@@ -12,10 +12,18 @@ WAL_PUT, WAL_DELETE = 1, 2
 RUN_PUT, RUN_DELETE = 0, 1
 
 
+def _reversed_hex(number: Column, size: int) -> Column:
+    """The lowest ``size`` bytes of a number, lowest first, as hexadecimal digits."""
+    out = None
+    for i in range(size):
+        byte = F.shiftleft(F.shiftright(number, 8 * i).bitwiseAND(0xFF), 8 * (size - 1 - i))
+        out = byte if out is None else out.bitwiseOR(byte)
+    return F.lpad(F.hex(out), 2 * size, F.lit("0"))
+
+
 def little_endian(number: Column, size: int) -> Column:
     """The lowest ``size`` bytes of a number, lowest first, as binary. NULL gives NULL."""
-    digits = F.right(F.lpad(F.hex(number.cast("long")), 16, F.lit("0")), F.lit(2 * size))
-    return F.unhex(F.array_join(F.reverse(F.regexp_extract_all(digits, F.lit("(..)"), F.lit(1))), ""))
+    return F.unhex(_reversed_hex(number.cast("long"), size))
 
 
 def record_bytes(key: Column, value: Column, put: Column) -> Column:
@@ -27,5 +35,5 @@ def wal_checksum(seq: Column, op: Column, key: Column, value: Column) -> Column:
     """CRC-32 of a log record: seq, op code, both lengths, key, value. NULL text counts as empty."""
     key, value = F.coalesce(key, F.lit("")), F.coalesce(value, F.lit(""))
     code = F.when(op == "PUT", WAL_PUT).otherwise(WAL_DELETE)
-    head = [little_endian(seq, 8), little_endian(code, 1), little_endian(F.octet_length(key), 4), little_endian(F.octet_length(value), 4)]
-    return F.crc32(F.concat(*head, key.cast("binary"), value.cast("binary")))
+    head = [_reversed_hex(seq.cast("long"), 8), F.lpad(F.hex(code.cast("long")), 2, F.lit("0")), *(_reversed_hex(F.octet_length(x).cast("long"), 4) for x in (key, value))]
+    return F.crc32(F.concat(F.unhex(F.concat(*head)), key.cast("binary"), value.cast("binary")))

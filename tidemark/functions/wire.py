@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What is trimmed, the verbs with their aliases, and the texts of replies.
+# What is trimmed, and the texts of replies.
 BLANKS = " \t\r\n"
-VERBS = {"PUT": "PUT", "SET": "PUT", "GET": "GET", "DELETE": "DELETE", "DEL": "DELETE", "PING": "PING", "QUIT": "QUIT", "EXIT": "QUIT", "STATUS": "STATUS"}
 NOT_LEADER = "NOT_LEADER - Write to leader at port 9000"
 STORED, DELETED, DELETE_FAILED, NOT_FOUND = "STORED", "DELETED", "DELETE_FAILED", "NOT_FOUND"
 PONG, BYE, UNKNOWN_COMMAND, INVALID = "PONG", "BYE", "UNKNOWN_COMMAND", "INVALID"
@@ -31,8 +30,8 @@ def parse_command(line: Column) -> Column:
     blank line is INVALID. Parts a verb doesn't have are NULL.
     """
     text = _trim(F.coalesce(line, F.lit("")))
-    names = F.create_map(*[F.lit(x) for pair in VERBS.items() for x in pair])
-    named = F.coalesce(F.try_element_at(names, F.upper(F.regexp_extract(text, "^[^ ]*", 0))), F.lit("UNKNOWN"))
+    first = F.upper(F.substring_index(text, " ", 1))
+    named = F.when(first.isin("PUT", "SET"), "PUT").when(first.isin("DELETE", "DEL"), "DELETE").when(first.isin("QUIT", "EXIT"), "QUIT").when(first.isin("GET", "PING", "STATUS"), first).otherwise("UNKNOWN")
     rest = F.regexp_extract(text, r"(?s)^[^ ]* [ \t\r\n]*(.+)$", 1)
     pair = r"(?s)^[^ ]* [ \t\r\n]*([^ ]+) [ \t\r\n]*(.+)$"
     broken = (text == "") | ((named == "PUT") & ~text.rlike(pair)) | (named.isin("GET", "DELETE") & (rest == ""))

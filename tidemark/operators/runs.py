@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.record_bytes import record_bytes
@@ -14,7 +14,7 @@ LEVEL_BYTES = {1: 10 << 20, 2: 100 << 20}
 INDEX_EVERY = 16
 
 
-def _size():
+def _size() -> Column:
     return record_bytes(F.col("key"), F.col("value"), F.col("op") == "PUT")
 
 
@@ -29,9 +29,14 @@ def flush(oplog: DataFrame, run: str = "flush_id") -> DataFrame:
     return latest(oplog, [run, "key"], ["seq", "op", "value"], ["value"]).select(run, "key", "value", "seq", "op")
 
 
+def facts() -> list[Column]:
+    """Aggregates that describe a run: ``min_key, max_key, max_seq, size_bytes, n_rows``."""
+    return [F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.max("seq").alias("max_seq"), F.sum(_size()).cast("long").alias("size_bytes"), F.count("*").alias("n_rows")]
+
+
 def run_meta(runs: DataFrame, run: str = "flush_id") -> DataFrame:
     """``run, min_key, max_key, max_seq, size_bytes, n_rows`` of each run; ``max_seq`` is the run's own."""
-    return runs.groupBy(run).agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.max("seq").alias("max_seq"), F.sum(_size()).cast("long").alias("size_bytes"), F.count("*").alias("n_rows"))
+    return runs.groupBy(run).agg(*facts())
 
 
 def sparse_index(runs: DataFrame, run: str = "flush_id") -> DataFrame:

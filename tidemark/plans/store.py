@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.record_bytes import wal_checksum
@@ -109,8 +109,10 @@ class Store:
         value = F.when(F.col("op") == "PUT", F.coalesce("value", F.lit(""))).otherwise("")
         rows = ops.select("key", value.alias("value"), F.col("seq").cast("long").alias("seq"), "op")
         name = f"log/{uuid.uuid4().hex}"
-        rows.withColumn("checksum", wal_checksum(F.col("seq"), F.col("op"), F.col("key"), F.col("value"))).write.parquet(f"{self.path}/{name}")
-        top = self._read([name]).agg(F.max("seq")).first()[0]
+        seen = Observation()
+        rows = rows.withColumn("checksum", wal_checksum(F.col("seq"), F.col("op"), F.col("key"), F.col("value"))).observe(seen, F.max("seq").alias("top"))
+        rows.write.parquet(f"{self.path}/{name}")
+        top = seen.get["top"]
         batches = {**self.state["batches"], **({batch[0]: batch[1]} if batch else {})}
         self._publish(segments=[*self.state["segments"], name], next_seq=max(self.state["next_seq"], (top or 0) + 1), batches=batches)
 
@@ -124,13 +126,13 @@ class Store:
         return live
 
     def _write_run(self, rows: DataFrame, level: int) -> list[dict]:
-        """Write rows as a run in key order; none if there are no rows."""
-        n = self.state["next_id"]
+        """Write rows, range-partitioned by key, as a run in key order; none if there are no rows. Its facts are gathered as it is written."""
+        n, seen = self.state["next_id"], Observation()
         name = f"runs/run_{n:08d}_{uuid.uuid4().hex[:8]}"
-        ordered = rows.repartitionByRange("key").sortWithinPartitions("key")
-        ordered.write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", "0.01").parquet(f"{self.path}/{name}")
-        meta = runs.run_meta(self._read([name]).withColumn("run", F.lit(n)), "run").first()
-        if meta is None:
+        facts = runs.facts()
+        rows.sortWithinPartitions("key").observe(seen, facts[0], *facts[1:]).write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", "0.01").parquet(f"{self.path}/{name}")
+        meta = seen.get
+        if not meta["n_rows"]:
             return []
         return [{"id": n, "level": level, "path": name} | {c: meta[c] for c in ("min_key", "max_key", "max_seq", "size_bytes", "n_rows")}]
 
@@ -140,7 +142,7 @@ class Store:
     def flush(self) -> None:
         """The log's operations become a run of level 0. Run and emptied log are published as one."""
         if self.state["segments"]:
-            run = self._write_run(lww.lww(self.memtable()), 0)
+            run = self._write_run(lww.lww(self.memtable()).repartitionByRange("key"), 0)
             self._publish(runs=[*self.state["runs"], *run], segments=[], next_id=self.state["next_id"] + 1)
 
     def flush_if_large(self, limit: int = MEMTABLE_BYTES) -> None:
@@ -173,7 +175,9 @@ class Store:
         low, high = min(r["min_key"] for r in inputs), max(r["max_key"] for r in inputs)
         bottom = not any(r["level"] > level + 1 for r in self.files_for(low, high) if r["id"] not in chosen)
         # Level 0 may hold older rows of these keys in files that were not chosen only if the source is deeper.
-        run = self._write_run(runs.compacted(self._read([r["path"] for r in inputs]), bottom), level + 1)
+        # A key has one row per input, so it needs no reduction before the shuffle: one range shuffle serves merge and order.
+        rows = self._read([r["path"] for r in inputs]).repartitionByRange("key")
+        run = self._write_run(runs.compacted(rows, bottom), level + 1)
         kept = [r for r in self.state["runs"] if r["id"] not in chosen]
         kept = sorted([*kept, *run], key=lambda r: (r["level"], r["min_key"] if r["level"] else "", r["id"]))
         self._publish(runs=kept, next_id=self.state["next_id"] + 1)
