@@ -28,6 +28,8 @@ SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 #: Rows of a slice, on average; a source of any size has as many slices as it needs.
 SLICE_ROWS = 50_000
 CUT_SLICES = 4096
+#: Listed sources, whose targets go to the driver and to every task.
+MAX_SOURCES = 100_000
 _encoders: dict[int, object] = {}
 
 
@@ -59,7 +61,9 @@ def with_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
 
 
 def read_targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
-    """``source -> (share, passes)``; one row for each source, spelled in any case. Targets are a small, given table."""
+    """``source -> (share, passes)``; one row for each source, spelled in any case. Raises beyond ``MAX_SOURCES``."""
+    if (n := targets.count()) > MAX_SOURCES:
+        raise ValueError(f"{n} targets are more than {MAX_SOURCES}")
     out = {}
     for r in targets.toLocalIterator():
         if r.source is None or r.target_share is None or r.target_share <= 0:
@@ -89,7 +93,7 @@ def largest_exact_total(sizes: dict[str, int], targets: dict[str, tuple[float, i
 
 def source_sizes(documents: DataFrame, targets: DataFrame) -> dict[str, int]:
     """Tokens of each listed source."""
-    listed = targets.select(F.lower(F.btrim("source")).alias("source")).distinct()
+    listed = documents.sparkSession.createDataFrame([(s,) for s in read_targets(targets)], "source string")
     sums = documents.join(F.broadcast(listed), "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("tokens"))
     return {r.source: r.tokens for r in sums.toLocalIterator()}
 
@@ -109,7 +113,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     wanted = read_targets(targets)
     spark = documents.sparkSession
     plan = spark.createDataFrame([(s, *t) for s, t in wanted.items()], "source string, share double, passes int")
-    # The targets are one row per listed source, read from a table that was given whole.
+    # read_targets has checked how many there are.
     # Sizes are written once, as the texts must not be split into tokens for each sum below.
     rows = cut(documents.where("tokens > 0").select("doc_id", "source", "tokens").join(F.broadcast(plan), "source"))
     found = {r.source: (r.n, r.tokens) for r in rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).toLocalIterator()}
