@@ -103,6 +103,19 @@ def test_triggers_and_numbering(spark, rows, tmp_path):
     assert rows(store.memtable()) == [("key0", "", 7, "DELETE"), ("n1", "", 5, "PUT"), ("n2", "v", 6, "PUT")]
 
 
+def test_load_is_write_and_flush(spark, rows, tmp_path):
+    data = ops(spark, [("a", "1"), ("b", "2"), ("a", None), ("c", "")])
+    one, two = Store(spark, f"file://{tmp_path}/one"), Store(spark, f"file://{tmp_path}/two")
+    one.write(data)
+    one.flush()
+    two.load(data, batch=("s", 0))
+    two.load(data, batch=("s", 0))
+    facts = lambda s: [{k: v for k, v in r.items() if k != "path"} for r in s.state["runs"]]
+    assert facts(one) == facts(two) and rows(one.rows()) == rows(two.rows()) and one.state["next_seq"] == two.state["next_seq"] == 5
+    two.load(data.limit(0))
+    assert len(two.state["runs"]) == 1
+
+
 def test_broken_segment_is_replayed_to_the_first_bad_record(spark, rows, tmp_path):
     store = Store(spark, f"file://{tmp_path}/b")
     store.write(ops(spark, [("a", "1"), ("b", "2"), ("c", "3")]))

@@ -35,9 +35,9 @@ def percentiles(values: DataFrame, column: str, ps: tuple[float, ...] = PERCENTI
 
 
 def latency_summary(values: DataFrame, column: str) -> DataFrame:
-    """``stat, value`` with the least, mean and greatest value and the percentiles."""
+    """``stat, value`` with the least, mean (to six places) and greatest value and the percentiles."""
     v = F.col(column).cast("double")
-    ends = values.agg(F.min(v).alias("min"), F.avg(v).alias("mean"), F.max(v).alias("max")).unpivot([], ["min", "mean", "max"], "stat", "value").where("value IS NOT NULL")
+    ends = values.agg(F.min(v).alias("min"), F.round(F.avg(v), 6).alias("mean"), F.max(v).alias("max")).unpivot([], ["min", "mean", "max"], "stat", "value").where("value IS NOT NULL")
     named = percentiles(values, column).select(F.concat(F.lit("p"), F.regexp_replace((F.col("p") * 1000).cast("int").cast("string"), "0$", "")).alias("stat"), F.col("value").cast("double").alias("value"))
     return ends.unionByName(named)
 

@@ -395,7 +395,7 @@ SELECT delivery_id, coalesce(term, 0) || '|' || coalesce(leader_commit, 0) || '|
     "repl_frames_read": "WITH " + _INGEST + """SELECT delivery_id, e.term AS term, e."index" AS "index", e.op AS op, e.key AS key, coalesce(e.value, '') AS value FROM m""",
     "lru_contents": _OPS + "SELECT key, max(seq) AS last_access FROM oplog GROUP BY key ORDER BY last_access DESC, key LIMIT 100",
     "latency_percentiles": " UNION ALL ".join(f"SELECT CAST({p} AS DOUBLE) AS p, {_percent(p, 'value', 'events')} AS value" for p in ("0.5", "0.95", "0.99", "0.999")),
-    "latency_summary": "SELECT 'min' AS stat, min(o_totalprice) AS value FROM orders UNION ALL SELECT 'mean', avg(o_totalprice) FROM orders UNION ALL SELECT 'max', max(o_totalprice) FROM orders UNION ALL "
+    "latency_summary": "SELECT 'min' AS stat, min(o_totalprice) AS value FROM orders UNION ALL SELECT 'mean', round(avg(o_totalprice), 6) FROM orders UNION ALL SELECT 'max', max(o_totalprice) FROM orders UNION ALL "
     + " UNION ALL ".join(f"SELECT '{n}', {_percent(p, 'o_totalprice', 'orders')}" for n, p in (("p50", "0.5"), ("p95", "0.95"), ("p99", "0.99"), ("p999", "0.999"))),
     "op_rates": _OPS + "SELECT key, count(*) AS n_ops, count(*) FILTER (op = 'PUT') AS n_puts, count(*) FILTER (op = 'DELETE') AS n_deletes, count(*) FILTER (op = 'PUT') / count(*) AS put_share FROM oplog GROUP BY key",
     "op_throughput": "SELECT n AS n_ops, t AS millis, n * 1000.0 / t AS ops_per_second FROM (SELECT count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 AS t FROM events)",

@@ -102,19 +102,35 @@ class Store:
         NULL values are stored as ``''``, as removals' are. ``batch`` names a
         stream and its batch: one that was committed before is not written again.
         """
-        if batch and self.state["batches"].get(batch[0], -1) >= batch[1]:
+        if self._known(batch):
             return
-        if order != "seq":
-            ops = replication.assign_index(ops, [], order, self.state["next_seq"] - 1).withColumn("seq", F.col("index"))
-        value = F.when(F.col("op") == "PUT", F.coalesce("value", F.lit(""))).otherwise("")
-        rows = ops.select("key", value.alias("value"), F.col("seq").cast("long").alias("seq"), "op")
+        rows = self._numbered(ops, order)
         name = f"log/{uuid.uuid4().hex}"
         seen = Observation()
         rows = rows.withColumn("checksum", wal_checksum(F.col("seq"), F.col("op"), F.col("key"), F.col("value"))).observe(seen, F.max("seq").alias("top"))
         rows.write.parquet(f"{self.path}/{name}")
         top = seen.get["top"]
-        batches = {**self.state["batches"], **({batch[0]: batch[1]} if batch else {})}
-        self._publish(segments=[*self.state["segments"], name], next_seq=max(self.state["next_seq"], (top or 0) + 1), batches=batches)
+        self._publish(segments=[*self.state["segments"], name], next_seq=max(self.state["next_seq"], (top or 0) + 1), batches=self._batches(batch))
+
+    def load(self, ops: DataFrame, order: str = "seq", batch: tuple[str, int] | None = None) -> None:
+        """As ``write`` and ``flush`` of one batch, without the log between: the run's commit is what makes it durable."""
+        if self._known(batch):
+            return
+        run = self._write_run(lww.lww(self._numbered(ops, order)).repartitionByRange("key"), 0)
+        top = max([r["max_seq"] for r in run], default=0)
+        self._publish(runs=[*self.state["runs"], *run], next_id=self.state["next_id"] + 1, next_seq=max(self.state["next_seq"], top + 1), batches=self._batches(batch))
+
+    def _known(self, batch: tuple[str, int] | None) -> bool:
+        return batch is not None and self.state["batches"].get(batch[0], -1) >= batch[1]
+
+    def _batches(self, batch: tuple[str, int] | None) -> dict[str, int]:
+        return {**self.state["batches"], **({batch[0]: batch[1]} if batch else {})}
+
+    def _numbered(self, ops: DataFrame, order: str) -> DataFrame:
+        if order != "seq":
+            ops = replication.assign_index(ops, [], order, self.state["next_seq"] - 1).withColumn("seq", F.col("index"))
+        value = F.when(F.col("op") == "PUT", F.coalesce("value", F.lit(""))).otherwise("")
+        return ops.select("key", value.alias("value"), F.col("seq").cast("long").alias("seq"), "op")
 
     def put(self, key: str, value: str) -> None:
         self.write(self.spark.createDataFrame([(key, value, "PUT", self.state["next_seq"])], "key string, value string, op string, seq long"))

@@ -33,15 +33,16 @@ def into_store(path: str, name: str, flush_bytes: int | None = None) -> Callable
     """A ``foreachBatch`` function that writes each batch to the store at ``path`` exactly once.
 
     The manifest remembers the last batch of stream ``name``, so a batch that
-    is sent again after a failure is known.
+    is sent again after a failure is known. Without ``flush_bytes`` every batch
+    becomes a run; with it, batches gather in the log up to that size.
     """
 
     def write(batch: DataFrame, n: int) -> None:
-        store = Store(batch.sparkSession, path)
-        store.write(batch.select("key", "value", "seq", "op"), batch=(name, n))
+        store, rows = Store(batch.sparkSession, path), batch.select("key", "value", "seq", "op")
         if flush_bytes is None:
-            store.flush()
+            store.load(rows, batch=(name, n))
         else:
+            store.write(rows, batch=(name, n))
             store.flush_if_large(flush_bytes)
         store.compact_due()
 
