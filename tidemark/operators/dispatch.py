@@ -17,28 +17,24 @@ def replies(commands: DataFrame, role: str = "standalone", status_text: str | No
     parsed, and STATUS without a text, answer UNKNOWN_COMMAND. ``seq`` is unique.
     """
     rows = commands.select("seq", wire.parse_command(F.col("line")).alias("c")).select("seq", "c.verb", "c.key", "c.value")
-    write = F.col("verb").isin("PUT", "DELETE") & F.lit(role != "follower")
-    keyed = rows.where("key IS NOT NULL")
-    # Per key, the last write's sequence number before each command, carried over reads.
-    marked = _last_write(keyed.withColumn("w", F.when(write, F.struct("seq", (F.col("verb") == "PUT").alias("put"), "value"))))
-    refused = F.col("verb").isin("PUT", "DELETE") & F.lit(role == "follower")
-    live = F.coalesce(F.col("last.put"), F.lit(False))
-    success = F.when(refused, False).when(F.col("verb") == "PUT", True).otherwise(live)
+    writes, follows, told = F.col("verb").isin("PUT", "DELETE"), F.lit(role == "follower"), F.lit(status_text is not None)
+    rows = _last_write(rows.withColumn("w", F.when(writes & ~follows, F.struct("seq", (F.col("verb") == "PUT").alias("put"), "value"))))
+    live, get, put, delete = F.coalesce(F.col("last.put"), F.lit(False)), *(F.col("verb") == v for v in ("GET", "PUT", "DELETE"))
+    ping, bye, status_asked = (F.col("verb") == v for v in ("PING", "QUIT", "STATUS"))
     message = (
-        F.when(refused, wire.NOT_LEADER)
-        .when(F.col("verb") == "PUT", wire.STORED)
-        .when(F.col("verb") == "DELETE", F.when(live, wire.DELETED).otherwise(wire.DELETE_FAILED))
-        .otherwise(F.when(live, "OK").otherwise(wire.NOT_FOUND))
+        F.when(writes & follows, wire.NOT_LEADER)
+        .when(put, wire.STORED)
+        .when(delete, F.when(live, wire.DELETED).otherwise(wire.DELETE_FAILED))
+        .when(get, F.when(live, "OK").otherwise(wire.NOT_FOUND))
+        .when(ping, wire.PONG)
+        .when(bye, wire.BYE)
+        .when(status_asked & told, "OK")
+        .otherwise(wire.UNKNOWN_COMMAND)
     )
-    value = F.when((F.col("verb") == "GET") & live, F.col("last.value"))
-    with_key = marked.select("seq", "verb", "key", success.alias("success"), message.alias("message"), value.alias("value"))
-    told = (F.col("verb") == "STATUS") & F.lit(status_text is not None)
-    plain = rows.where("key IS NULL").select(
-        "seq", "verb", "key", (F.col("verb").isin("PING", "QUIT") | told).alias("success"),
-        F.when(F.col("verb") == "PING", wire.PONG).when(F.col("verb") == "QUIT", wire.BYE).when(told, "OK").otherwise(wire.UNKNOWN_COMMAND).alias("message"),
-        F.when(told, F.lit(status_text)).cast("string").alias("value"),
-    )
-    return with_key.unionByName(plain).withColumn("line", wire.reply_line(F.col("success"), F.col("message"), F.col("value")))
+    success = F.when(writes & follows, False).when(get | delete, live).otherwise(put | ping | bye | (status_asked & told))
+    value = F.when(get & live, F.col("last.value")).when(status_asked & told, F.lit(status_text))
+    out = rows.select("seq", "verb", "key", success.alias("success"), message.alias("message"), value.alias("value"))
+    return out.withColumn("line", wire.reply_line(F.col("success"), F.col("message"), F.col("value")))
 
 
 def _last_write(rows: DataFrame) -> DataFrame:
@@ -49,8 +45,9 @@ def _last_write(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_block", F.shiftright("seq", 16))
     inner = Window.partitionBy("key", "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy("key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = rows.groupBy("key", "_block").agg(F.max("w").alias("_end")).select("key", "_block", F.max("_end").over(outer).alias("_before"))
-    return rows.withColumn("_in", F.max("w").over(inner)).join(ends, ["key", "_block"]).withColumn("last", F.coalesce("_in", "_before")).drop("_in", "_before", "_block", "w")
+    ends = rows.where("key IS NOT NULL").groupBy("key", "_block").agg(F.max("w").alias("_end")).select("key", "_block", F.max("_end").over(outer).alias("_before"))
+    # Commands without a key join nothing and see no write.
+    return rows.withColumn("_in", F.max("w").over(inner)).join(ends, ["key", "_block"], "left").withColumn("last", F.coalesce("_in", "_before")).drop("_in", "_before", "_block", "w")
 
 
 def status(spark, node_id: int, role: str, term: int, commit_index: int, connections: int) -> DataFrame:

@@ -327,9 +327,6 @@ CASE WHEN verb = 'PUT' THEN 'STORED' WHEN verb = 'DELETE' THEN CASE WHEN live TH
 WHEN verb = 'GET' THEN CASE WHEN live THEN 'OK' ELSE 'NOT_FOUND' END WHEN verb = 'PING' THEN 'PONG' ELSE 'UNKNOWN_COMMAND' END AS message,
 CASE WHEN verb = 'GET' AND live THEN old END AS value FROM s) """
 _MANIFEST_SUM = "SELECT store_id, node_id, level, count(*) AS n_files, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS size_bytes FROM manifest GROUP BY store_id, node_id, level"
-_HITS = """, a AS (SELECT key, seq, lag(seq) OVER (PARTITION BY key ORDER BY seq) AS prev FROM oplog),
-h AS (SELECT a.key, a.seq, CASE WHEN a.prev IS NOT NULL THEN (SELECT count(DISTINCT b.key) FROM oplog b WHERE b.seq > a.prev AND b.seq < a.seq) END AS distance FROM a),
-j AS (SELECT key, seq, distance, coalesce(distance < 100, false) AS hit FROM h) """
 _PCT = """(SELECT v[1 + least(CAST(floor(n * {p}) AS BIGINT), n - 1)] FROM (SELECT list_sort(list({c})) AS v, count(*) AS n FROM {t}))"""
 
 
