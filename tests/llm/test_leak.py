@@ -64,6 +64,12 @@ def test_random_against_brute_force(spark, rows):
     assert rows(leak.leaks(docs(spark, texts), items(spark, *its))) == sorted(want, key=repr)
 
 
+def test_repeated_and_null_ids(spark, rows):
+    its = spark.createDataFrame([(1, ITEM), (1, "ganz andere Wörter stehen hier in diesem zweiten Text"), (1, ITEM), (None, ITEM)], "item_id long, text string")
+    ds = spark.createDataFrame([(None, ITEM), (7, "Ganz andere Wörter stehen hier in diesem zweiten"), (7, ITEM)], "doc_id long, text string")
+    assert rows(leak.leaks(ds, its)) == sorted([(1, None), (None, None), (1, 7), (None, 7)], key=repr)
+
+
 def test_spans_are_cut(spark, rows):
     long = "w " * 50_000
     texts = ["vor " + HITS[4] + " nach", ITEM, "nichts", None, "", long + ITEM]

@@ -26,7 +26,7 @@ def test_against_brute_force(spark, rows, tmp_path):
     r = random.Random(1)
     a = arrivals(r, 400)
     stored = [(1, "k1"), (2, ""), (1, None), (1, "k1")]
-    write(spark, tmp_path / "ops", a, ARRIVING)
+    write(spark, tmp_path / "ops", [*a, (None, 1, "k1", "PUT", 5), (None, 1, "k61", "PUT", 5)], ARRIVING)
     write(spark, tmp_path / "old", stored, "store_id int, key string", 1)
     state = seen.SeenKeys(spark, f"file://{tmp_path}/state")
     state.advance(f"{tmp_path}/ops", (f"{tmp_path}/old",))

@@ -98,7 +98,7 @@ class Windows:
     """All windows of the items: coarse words to the places they come from."""
 
     def __init__(self, items: list[tuple[int, str]], n: int = WORDS) -> None:
-        self.n, self.items = n, dict(items)
+        self.n, self.items = n, list(dict.fromkeys(items))
         self._ready = False
 
     def prepare(self) -> Windows:
@@ -106,10 +106,10 @@ class Windows:
         if self._ready:
             return self
         words = Words.shared()
-        self.words = {i: words.split(t) for i, t in self.items.items()}
+        self.words = [words.split(t) for _, t in self.items]
         self.ids: dict[str, int] = {}
         self.at: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
-        for i, ws in self.words.items():
+        for i, ws in enumerate(self.words):
             ids = [self.ids.setdefault(words.coarse(w), len(self.ids)) for w in ws]
             for k in range(len(ids) - self.n + 1):
                 self.at[tuple(ids[k : k + self.n])].append((i, k))
@@ -130,7 +130,7 @@ class Windows:
             if run >= n and (found := self.at.get(tuple(ids[k - n + 1 : k + 1]))):
                 for item, j in found:
                     if all(map(words.same, ws[k - n + 1 : k + 1], self.words[item][j : j + n])):
-                        yield item, k - n + 1
+                        yield self.items[item][0], k - n + 1
 
 
 def _windows(items: DataFrame, n: int) -> Windows | None:

@@ -45,8 +45,8 @@ class SeenKeys:
 
     Calling ``advance`` again with the same ``path`` goes on from the last
     checkpoint and reads only files that are new. Arrival ids must be unique and
-    at least 0. A row whose key is NULL is never a repeat and is not kept; a
-    NULL store is a store of its own.
+    at least 0; rows without an id are left out. A row whose key is NULL is
+    never a repeat and is not kept; a NULL store is a store of its own.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -57,7 +57,7 @@ class SeenKeys:
         if files:
             reader = reader.option("maxFilesPerTrigger", files)
         # A pattern, as the stream takes a plain path for a folder; this one may be a single file.
-        return reader.parquet(f"{folder[:-1]}[{folder[-1]}]").where("key IS NOT NULL").select(F.col("store_id").cast("int").alias("store_id"), "key", arrival.alias("arrival"))
+        return reader.parquet(f"{folder[:-1]}[{folder[-1]}]").where("key IS NOT NULL").select(F.col("store_id").cast("int").alias("store_id"), "key", arrival.alias("arrival")).where("arrival IS NOT NULL")
 
     def advance(self, arriving: str, stored: tuple[str, ...] = (), id_column: str = "op_id", files_per_batch: int | None = None) -> None:
         """Take in all rows of ``arriving`` and the keys of the ``stored`` tables."""
@@ -88,11 +88,11 @@ class SeenKeys:
         """``id_column, verdict`` of each row: ``first``, ``repeat``, or ``no key``."""
         first = self.firsts().select(F.col("arrival").alias(id_column), F.lit("first").alias("verdict"))
         verdict = F.when(F.col("key").isNull(), "no key").otherwise(F.coalesce("verdict", F.lit("repeat")))
-        return rows.select(id_column, "key").join(first, id_column, "left").select(id_column, verdict.alias("verdict"))
+        return rows.select(id_column, "key").where(F.col(id_column).isNotNull()).join(first, id_column, "left").select(id_column, verdict.alias("verdict"))
 
     def repeats(self, rows: DataFrame, id_column: str = "op_id") -> DataFrame:
         """``id_column`` of the rows whose key was there already."""
-        return rows.where("key IS NOT NULL").select(id_column).join(self.firsts().select(F.col("arrival").alias(id_column)), id_column, "left_anti")
+        return rows.where(F.col("key").isNotNull() & F.col(id_column).isNotNull()).select(id_column).join(self.firsts().select(F.col("arrival").alias(id_column)), id_column, "left_anti")
 
 
 def over_folder(spark: SparkSession, folder: str) -> SeenKeys:
@@ -104,6 +104,7 @@ def over_folder(spark: SparkSession, folder: str) -> SeenKeys:
 
 def exact_repeats(arriving: DataFrame, stored: DataFrame, id_column: str = "op_id") -> DataFrame:
     """The same answer by one batch aggregation over all keys, to measure wrong answers against."""
+    arriving = arriving.where(F.col(id_column).isNotNull())
     rows = arriving.select("store_id", "key", F.col(id_column).alias("arrival")).unionByName(stored.select("store_id", "key", F.lit(STORED).cast("long").alias("arrival")))
     first = rows.where("key IS NOT NULL").groupBy("store_id", "key").agg(F.min("arrival").alias(id_column)).select(id_column)
     return arriving.where("key IS NOT NULL").select(id_column).join(first, id_column, "left_anti")
@@ -112,6 +113,6 @@ def exact_repeats(arriving: DataFrame, stored: DataFrame, id_column: str = "op_i
 def error_rate(arriving: DataFrame, said: DataFrame, exact: DataFrame, id_column: str = "op_id") -> DataFrame:
     """One row: ``n_rows, n_repeats, n_wrong, wrong_rate`` of the verdicts ``said``."""
     truth = exact.select(id_column, F.lit(True).alias("truth"))
-    rows = arriving.where("key IS NOT NULL").select(id_column).join(said.select(id_column, "verdict"), id_column, "left").join(truth, id_column, "left")
+    rows = arriving.where(F.col("key").isNotNull() & F.col(id_column).isNotNull()).select(id_column).join(said.select(id_column, "verdict"), id_column, "left").join(truth, id_column, "left")
     wrong = F.coalesce("truth", F.lit(False)) != F.coalesce(F.col("verdict") == "repeat", F.lit(False))
     return rows.agg(F.count("*").alias("n_rows"), F.count_if("truth").alias("n_repeats"), F.count_if(wrong).alias("n_wrong")).withColumn("wrong_rate", F.when(F.col("n_rows") > 0, F.col("n_wrong") / F.col("n_rows")))
