@@ -113,6 +113,8 @@ def test_load_is_write_and_flush(spark, rows, tmp_path):
     facts = lambda s: [{k: v for k, v in r.items() if k != "path"} for r in s.state["runs"]]
     assert facts(one) == facts(two) and rows(one.rows()) == rows(two.rows()) and one.state["next_seq"] == two.state["next_seq"] == 5
     two.load(data.limit(0))
+    with pytest.raises(Exception, match="NULL keys"):
+        two.load(ops(spark, [(None, "x")], 9))
     assert len(two.state["runs"]) == 1
 
 

@@ -99,8 +99,10 @@ class Store:
     def write(self, ops: DataFrame, order: str = "seq", batch: tuple[str, int] | None = None) -> None:
         """Append operations ``key, value, op`` with ``seq``, or numbered in the order of column ``order``.
 
-        NULL values are stored as ``''``, as removals' are. ``batch`` names a
-        stream and its batch: one that was committed before is not written again.
+        NULL values are stored as ``''``, as removals' are. A NULL key fails the
+        batch and nothing of it is kept, as key ranges of files couldn't tell it.
+        ``batch`` names a stream and its batch: one that was committed before is
+        not written again.
         """
         if self._known(batch):
             return
@@ -130,7 +132,8 @@ class Store:
         if order != "seq":
             ops = replication.assign_index(ops, [], order, self.state["next_seq"] - 1).withColumn("seq", F.col("index"))
         value = F.when(F.col("op") == "PUT", F.coalesce("value", F.lit(""))).otherwise("")
-        return ops.select("key", value.alias("value"), F.col("seq").cast("long").alias("seq"), "op")
+        key = F.coalesce("key", F.raise_error(F.lit("a store has no NULL keys")).cast("string"))
+        return ops.select(key.alias("key"), value.alias("value"), F.col("seq").cast("long").alias("seq"), "op")
 
     def put(self, key: str, value: str) -> None:
         self.write(self.spark.createDataFrame([(key, value, "PUT", self.state["next_seq"])], "key string, value string, op string, seq long"))
