@@ -129,3 +129,14 @@ def test_streams(spark, rows, tmp_path):
     assert rows(Store(spark, path).snapshot(), "key") == [("b",)] and Store(spark, path).version == before
     live.run_available(live.read_stream(spark, f"{tmp_path}/in", schema, 1), live.to_replicas([f"{tmp_path}/r1", f"{tmp_path}/r2"]), f"{tmp_path}/c3")
     assert spark.read.parquet(f"{tmp_path}/r1").count() == spark.read.parquet(f"{tmp_path}/r2").count() == 4
+
+
+def test_prefix_end_goes_by_gaps_alone(spark, rows, tmp_path):
+    from tidemark.plans import registry
+
+    entry = "array<struct<term: long, index: long, op: string, key: string, value: string>>"
+    put = lambda indexes: [(1, i, "PUT", f"k{i}", "v") for i in indexes]
+    # Store 1 holds all of 1 to 500, in two orders; store 2 lacks 300, store 3 lacks 1, store 4 lacks 211.
+    messages = [(1, put(range(400, 501))), (1, put(range(1, 420))), (2, put(range(301, 400))), (2, put(range(1, 300))), (3, put(range(2, 9))), (4, put([*range(1, 211), 212])), (4, None)]
+    spark.createDataFrame(messages, f"store_id int, entries {entry}").write.parquet(f"file://{tmp_path}/repl_msgs.parquet")
+    assert rows(registry.QUERIES["repl_prefix_end"](spark, f"file://{tmp_path}")) == [(1, 500), (2, 299), (3, 0), (4, 210)]

@@ -167,7 +167,7 @@ def repl_state(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def repl_prefix_end(spark: SparkSession, folder: str) -> DataFrame:
-    return replication.contiguous_end(replication.ingest(table(spark, folder, "repl_msgs")).where("index % 211 <> 0"), ["store_id"])
+    return replication.contiguous_end(replication.ingest(table(spark, folder, "repl_msgs")), ["store_id"])
 
 
 def repl_apply_prefix(spark: SparkSession, folder: str) -> DataFrame:
