@@ -89,3 +89,16 @@ def test_tokens(spark):
     df = spark.createDataFrame([(1, " Parlrec ", "Hello world, hello."), (2, None, ""), (3, "X", None), (4, "x", "é" * 5000), (5, "x", "<|endoftext|>")], "doc_id long, source string, text string")
     got = {r.doc_id: (r.source, r.tokens) for r in mix.with_tokens(df.withColumn("tokens", df.doc_id)).collect()}
     assert got[1] == ("parlrec", 5) and got[2] == (None, 0) and got[3] == ("x", 0) and got[4][1] > 0 and got[5][1] > 1
+
+
+@pytest.mark.skipif(not os.path.exists(mix.VOCABULARY), reason="no vocabulary here")
+def test_registered_exact_mixture(spark, tmp_path):
+    from tidemark.llm import queries
+
+    texts = [(i, "big", "one two three") for i in range(300)] + [(1000 + i, "tiny", "one two three") for i in range(10)]
+    targets = spark.createDataFrame([("big", 0.5, 1), ("tiny", 0.5, 4)], TARGETS)
+    spark.createDataFrame(texts, "doc_id long, source string, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    targets.write.parquet(f"file://{tmp_path}/mix_targets.parquet")
+    out = queries.QUERIES["p7_exact_mixture"](spark, f"file://{tmp_path}")
+    assert {r.source: (r.tokens, r.most_uses) for r in mix.shares(out, targets).collect()} == {"big": (120, 1), "tiny": (120, 4)}
+    assert set(out.columns) == {"doc_id", "copy", "source", "tokens", "finish_time"}

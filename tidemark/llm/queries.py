@@ -44,11 +44,15 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix.shares(p7_mixture(spark, folder), table(spark, folder, "mix_targets"))
 
 
-def p7_exact_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Shares at the largest total that every source with documents can serve."""
+def p7_exact_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixture of the largest total that every source with documents can serve."""
     documents, targets = cut(mix.with_tokens(table(spark, folder, "documents"))), table(spark, folder, "mix_targets")
     total = mix.largest_exact_total(mix.source_sizes(documents, targets), mix.read_targets(targets))
-    return mix.shares(mix.mixture(documents, targets, total), targets)
+    return mix.mixture(documents, targets, total)
+
+
+def p7_exact_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mix.shares(p7_exact_mixture(spark, folder), table(spark, folder, "mix_targets"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,7 +67,7 @@ def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.classes(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_verdicts, p5_error_rate, p6_found, p6_cleaned, p6_items, p7_mixture, p7_shares, p7_exact_shares, p8_found, p8_forms, p8_classes)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_verdicts, p5_error_rate, p6_found, p6_cleaned, p6_items, p7_mixture, p7_shares, p7_exact_mixture, p7_exact_shares, p8_found, p8_forms, p8_classes)}
 
 _SEEN = """WITH k AS (SELECT store_id, key, -1 AS op_id FROM leader_sst UNION ALL SELECT store_id, key, -1 FROM sst_index
 UNION ALL SELECT store_id, key, op_id FROM incoming_ops),
