@@ -46,3 +46,43 @@ def test_runs_neither_skip_nor_repeat(spark, rows, tmp_path):
     assert store.run(df(), marks) == 3 and store.output(3).isEmpty()
     with pytest.raises(RuntimeError):
         store.log.publish(3, {})
+
+
+MARKS = "store_id int, node_id int, max_seq long, hi_term long"
+
+
+def test_followers_that_appear_between_runs(spark, rows, tmp_path):
+    low = inc.LOWEST
+    store = inc.RunStore(spark, f"file://{tmp_path}/runs")
+    log = [(1, 1, 1, 1, 10, ""), (2, 1, 1, 2, 20, "")]
+    df = lambda: spark.createDataFrame(log, LOG)
+    first = [(1, 1, low, low), (None, 1, low, low)]
+    store.run(df(), spark.createDataFrame(first, MARKS))
+    # A follower that has index 1 already, and a store whose first row came with the run before it was known.
+    log += [(3, 2, 1, 1, 5, ""), (4, 1, 1, 3, 30, "")]
+    first += [(1, 2, 10, 1)]
+    store.run(df(), spark.createDataFrame(first, MARKS))
+    assert rows(store.output(2), "store_id", "node_id", "index") == [(1, 1, 3), (1, 2, 2), (1, 2, 3)]
+    first += [(2, 1, low, low)]
+    store.run(df(), spark.createDataFrame(first, MARKS))
+    assert rows(store.output(3), "store_id", "node_id", "index") == [(2, 1, 1)]
+    assert rows(store.marks()) == sorted([(1, 1, 30, 1), (1, 2, 30, 1), (2, 1, 5, 1), (None, 1, low, low)], key=repr)
+    store.run(df(), spark.createDataFrame(first, MARKS))
+    assert store.output(4).isEmpty()
+
+
+def test_rows_without_feed_position(spark, rows, tmp_path):
+    marks = spark.createDataFrame([(1, 1, inc.LOWEST, inc.LOWEST)], MARKS)
+    store = inc.RunStore(spark, f"file://{tmp_path}/runs")
+    log = [(1, 1, 1, 1, 10, ""), (None, 1, 1, 2, 20, "")]
+    df = lambda: spark.createDataFrame(log, LOG)
+    store.run(df(), marks)
+    assert rows(store.output(1), "index") == [(1,), (2,)]
+    # Index 1 came before; indexes 2 and 3 have no position yet and come out until a copy has one.
+    log += [(None, 1, 1, 1, 10, ""), (None, 1, 1, 3, 30, "")]
+    store.run(df(), marks)
+    assert rows(store.output(2), "index") == [(2,), (3,)]
+    log += [(2, 1, 1, 2, 20, ""), (3, 1, 1, 3, 30, "")]
+    store.run(df(), marks)
+    store.run(df(), marks)
+    assert rows(store.output(3), "index") == [(2,), (3,)] and store.output(4).isEmpty()

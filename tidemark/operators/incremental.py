@@ -44,6 +44,11 @@ def upper_limit(log: DataFrame) -> int:
     return log.agg(F.max("feed_pos")).first()[0] or 0
 
 
+def _until(log: DataFrame, upto: int) -> DataFrame:
+    """Rows that arrived up to ``upto``; a row without a feed position has always arrived."""
+    return log.where((F.col("feed_pos") <= upto) | F.col("feed_pos").isNull())
+
+
 def changed_entries(log: DataFrame, marks: DataFrame, upto: int | None = None) -> DataFrame:
     """Entries in force above a follower's watermark: ``store_id, node_id, index, term, seq``.
 
@@ -52,10 +57,11 @@ def changed_entries(log: DataFrame, marks: DataFrame, upto: int | None = None) -
     ``hi_term``. Rows without store or index name no entry; a NULL seq counts
     as above every watermark. Rows no follower of the store could want are
     dropped in the scan, before the shuffle: entries that share an index share
-    the seq, so what is left still holds the entry in force.
+    the seq, so what is left still holds the entry in force. A row of NULL
+    ``feed_pos`` counts as arrived, whatever ``upto`` is.
     """
     if upto is not None:
-        log = log.where(F.col("feed_pos") <= upto)
+        log = _until(log, upto)
     by_store = marks.where("store_id IS NOT NULL").groupBy("store_id").agg(
         F.collect_set(F.struct("node_id", "max_seq", "hi_term")).alias("marks"),  # a store's few followers
         F.min("max_seq").alias("low_seq"),
@@ -85,10 +91,12 @@ def arrived_entries(log: DataFrame, followers: DataFrame, after: int, upto: int)
     The watermark is the feed position, which rises with arrival, so a late
     entry of low ``seq`` is not passed over. An entry counts if the first row of
     its term lies above ``after``. Of the older rows only those sharing an
-    ``(store_id, index)`` with a new one are compared.
+    ``(store_id, index)`` with a new one are compared. Nothing tells when a row
+    of NULL ``feed_pos`` arrived: it is new in every run, unless a copy of its
+    entry lies at or below ``after``, as a repeated entry is safer than a lost one.
     """
-    rows = log.select("store_id", "index", "term", "seq", "feed_pos").where("store_id IS NOT NULL AND index IS NOT NULL")
-    fresh = rows.where((F.col("feed_pos") > after) & (F.col("feed_pos") <= upto))
+    rows = _until(log, upto).select("store_id", "index", "term", "seq", F.coalesce("feed_pos", F.lit(-LOWEST)).alias("feed_pos")).where("store_id IS NOT NULL AND index IS NOT NULL")
+    fresh = rows.where(F.col("feed_pos") > after)
     older = rows.where(F.col("feed_pos") <= after).join(fresh.select("store_id", "index").distinct(), ["store_id", "index"], "left_semi")
     force = (
         fresh.unionByName(older)
@@ -102,7 +110,7 @@ def arrived_entries(log: DataFrame, followers: DataFrame, after: int, upto: int)
 
 def advanced(log: DataFrame, marks: DataFrame, upto: int) -> DataFrame:
     """The watermarks after a run up to ``upto``; they never go back."""
-    top = log.where(F.col("feed_pos") <= upto).groupBy("store_id").agg(F.max("seq").alias("seq"), F.max("term").alias("term"))
+    top = _until(log, upto).groupBy("store_id").agg(F.max("seq").alias("seq"), F.max("term").alias("term"))
     return marks.join(top, "store_id", "left").select("store_id", "node_id", F.greatest("max_seq", "seq").alias("max_seq"), F.greatest("hi_term", "term").alias("hi_term"))
 
 
@@ -126,13 +134,20 @@ class RunStore:
 
         The first run starts from ``first_marks``, the watermarks the followers'
         own run history gives; every later one from the feed position that the
-        last commit names.
+        last commit names. A follower the last commit doesn't know starts from
+        its own watermark in ``first_marks``, whenever it appears.
         """
         done, last = self.log.latest()
-        marks = self.marks() if last else first_marks
         upto = upper_limit(log)
         folder = f"run-{uuid.uuid4().hex}"
-        due = arrived_entries(log, marks, last["upto"], upto) if last else changed_entries(log, marks, upto)
+        if last:
+            known = self.marks()
+            same = [first_marks[c].eqNullSafe(known[c]) for c in ("store_id", "node_id")]
+            new = first_marks.join(known, same, "left_anti").select(*known.columns)
+            due = arrived_entries(log, known, last["upto"], upto).unionByName(changed_entries(log, new, upto))
+            marks = known.unionByName(new)
+        else:
+            marks, due = first_marks, changed_entries(log, first_marks, upto)
         due.write.parquet(f"{self.path}/{folder}/output")
         advanced(log, marks, upto).write.parquet(f"{self.path}/{folder}/marks")
         if fail_before_commit:
