@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from tidemark.operators import changefeed
 
 FEED = "store_id int, term long, index long, op string, key string, value string, seq long, block long, copies int"
@@ -58,3 +60,33 @@ def test_empty_and_odd_rows(spark, rows):
     assert rows(changefeed.live_rows(spark.createDataFrame([], FEED))) == []
     odd = [(None, 1, 1, "PUT", "a", "x", 1, 0, 0), (1, 1, None, "PUT", "a", "x", 1, 0, 0), (1, None, 2, "PUT", None, "", 1, 0, 0), (1, None, 3, "PUT", "", None, 1, 0, 0)]
     assert rows(changefeed.live_rows(spark.createDataFrame(odd, FEED))) == sorted([(1, None, 2, ""), (1, "", 3, None)], key=repr)
+
+
+def test_base_keeps_removals(spark, rows):
+    df = lambda *f: spark.createDataFrame([(*x, 0, 0) for x in f], FEED)
+    early = df((1, 1, 8, "PUT", "a", "x", 8), (1, 1, 9, "PUT", "b", "y", 9), (1, 1, 10, "DEL", "a", None, 10), (2, 1, 1, "SET", None, "z", 1))
+    base = changefeed.last_entries(early)
+    assert rows(base, "store_id", "term", "index", "op", "key") == sorted([(1, 1, 9, "PUT", "b"), (1, 1, 10, "DELETE", "a"), (2, 1, 1, "PUT", None)], key=repr)
+    # A put of a removed key comes again: the key stays removed, also in the next base.
+    again = df((1, 1, 8, "PUT", "a", "x", 8), (1, 1, 11, "PUT", "c", "w", 11), (2, 1, 2, "DEL", None, None, 2))
+    assert rows(changefeed.live_rows(again, base)) == [(1, "b", 9, "y"), (1, "c", 11, "w")]
+    assert rows(changefeed.live_rows(again.limit(0), changefeed.last_entries(again, base))) == [(1, "b", 9, "y"), (1, "c", 11, "w")]
+    # A higher term for the same key replaces the entry in place.
+    assert rows(changefeed.live_rows(df((1, 2, 9, "PUT", "b", "new", 9)), base), "key", "value") == [("b", "new"), (None, "z")]
+    assert rows(changefeed.live_rows(df((1, 0, 9, "PUT", "q", "old", 9)), base), "key", "value") == [("b", "y"), (None, "z")]
+
+
+@pytest.mark.parametrize("change", [(1, 2, 9, "PUT", "q", "x", 9), (1, 2, 9, "PUT", "a", "x", 9), (1, 1, 7, "PUT", "q", "x", 7)])
+def test_changes_the_base_cannot_place(spark, change):
+    base = spark.createDataFrame([(1, 1, 9, "PUT", "b", "y", 9), (1, 1, 10, "DELETE", "a", None, 10)], "store_id int, term long, index long, op string, key string, value string, seq long")
+    with pytest.raises(ValueError):
+        changefeed.live_rows(spark.createDataFrame([(*change, 0, 0)], FEED), base)
+
+
+def test_base_in_parts_equals_the_whole(spark, rows):
+    f = sorted(feed(5, 300_000), key=lambda x: x[2])
+    head, tail = f[: len(f) // 2], f[len(f) // 2 :]
+    cut = head[-1][2]
+    tail = [x for x in tail if x[2] > cut]
+    base = changefeed.last_entries(spark.createDataFrame(head, FEED))
+    assert rows(changefeed.live_rows(spark.createDataFrame(tail, FEED), base)) == brute(head + tail)

@@ -37,17 +37,53 @@ def entries_in_force(feed: DataFrame) -> DataFrame:
     )
 
 
+def _on_base(feed: DataFrame, base: DataFrame | None) -> DataFrame:
+    """``feed`` with the entries of ``base``; raises for changes whose effect the base can't tell.
+
+    A base has the last entry of every key, ``store_id, term, index, op, key,
+    value, seq``; without ``op`` it says that no key was ever removed. A change
+    up to the base's last index is placed if the base has a later entry of its
+    key, or the entry itself, or that entry in another term for the same key.
+    Two kinds can't be placed: one of a higher term that takes a key's last entry
+    away (the key's value before it isn't kept), and one at an index the base
+    doesn't have that would be its key's last (it may be late, or replaced by a
+    higher term that isn't kept). For these the feed must be read whole.
+    """
+    columns = ["store_id", "term", "index", "op", "key", "value", "seq"]
+    if base is None:
+        return feed.select(*columns)
+    kept = (base if "op" in base.columns else base.withColumn("op", F.lit("PUT"))).select(*columns)
+    rank = lambda c: F.coalesce(F.col(c), F.lit(-(1 << 63)))
+    top = kept.groupBy("store_id").agg(F.max("index").alias("top"))
+    held = kept.select("store_id", "index", F.lit(True).alias("held"), F.col("term").alias("held_term"), F.col("key").alias("held_key"))
+    last = kept.groupBy(F.col("store_id").alias("last_store"), F.col("key").alias("last_key")).agg(F.max("index").alias("last"))
+    own = (F.col("store_id") == F.col("last_store")) & F.col("key").eqNullSafe(F.col("last_key"))
+    late = entries_in_force(feed).join(top, "store_id").where("index <= top").join(held, ["store_id", "index"], "left").join(last, own, "left")
+    taken = (rank("held_term") < rank("term")) & ~F.col("key").eqNullSafe(F.col("held_key"))
+    unplaced = late.where(F.when(F.col("held"), taken).otherwise(~F.coalesce(F.col("last") > F.col("index"), F.lit(False))))
+    if (r := unplaced.select("store_id", "index", "term").first()) is not None:
+        raise ValueError(f"the base can't place entry {r['index']} of store {r.store_id}, term {r.term}; read the feed whole")
+    return feed.select(*columns).unionByName(kept)
+
+
+def last_entries(feed: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """The base for later changes: the last entry in force of every key, removals included.
+
+    Returns ``store_id, term, index, op, key, value, seq``, with ``op`` PUT or DELETE.
+    """
+    image = F.struct("index", "term", F.when(F.col("put"), "PUT").otherwise("DELETE").alias("op"), "value", "seq")
+    last = entries_in_force(_on_base(feed, base)).groupBy("store_id", "key").agg(F.max(image).alias("e"))
+    return last.select("store_id", "e.term", "e.index", "e.op", "key", "e.value", "e.seq")
+
+
 def live_rows(feed: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """The live keys after ``feed``: ``store_id, key, index, value``.
 
     ``feed`` has ``store_id, term, index, op, key, value, seq``. ``base``, if
-    given, is an earlier state with ``store_id, term, index, key, value, seq``;
-    changes the base has already are recognised by their ``(store_id, index)``.
-    NULL is a key like any other.
+    given, is an earlier state as ``last_entries`` gives it. NULL is a key like
+    any other.
     """
-    if base is not None:
-        kept = base.select("store_id", "term", "index", F.lit("PUT").alias("op"), "key", "value", "seq")
-        feed = feed.select(*kept.columns).unionByName(kept)
+    feed = _on_base(feed, base)
     block = F.shiftright("index", BLOCK_BITS)
     entries = entries_in_force(feed).select("store_id", "key", block.alias("block"), "index", "put", "value")
     order = Window.partitionBy("store_id", "key", "block").orderBy("index")
