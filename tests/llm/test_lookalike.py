@@ -79,3 +79,10 @@ def test_pairs_against_brute_force(spark, rows):
     assert set(got) == set(known)
     assert dict(rows(lookalike.forms(df), "doc_id", "form"))[900] is None
     assert rows(lookalike.equal_looking(df.limit(0))) == [] and rows(lookalike.classes(df.limit(0))) == []
+
+
+def test_compatibility_ideographs():
+    form = Transducer.shared().form
+    alike = [chr(i) for i in (*range(0xF900, 0xFB00), *range(0x20000, 0x30000)) if unicodedata.normalize("NFC", chr(i)) != chr(i)]
+    assert sum(c >= "\U00020000" for c in alike) == 542
+    assert all(form(f"x{c}y") == "x" + unicodedata.normalize("NFC", c) + "y" for c in alike)
