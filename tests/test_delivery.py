@@ -87,3 +87,13 @@ def test_range_book():
             seen.add(int(k))
     assert {i for a, b in zip(book.lo, book.hi) for i in range(a, b + 1)} == seen
     assert (book.lo[1:] > book.hi[:-1] + 1).all()
+
+
+def test_registered_queries_count_unnamed_entries(spark, rows, tmp_path):
+    from tidemark.plans import registry
+
+    m = [message(1, 1, (None, None), (1, 1), (None, None)), message(2, 1, (1, 1), (None, None), (None, 4)), message(3, None, (None, None)), (4, 1, [None, (None, None, "PUT", "k", None)], "other", 7), (5, 1, [None], "other", 7)]
+    spark.createDataFrame(m, SCHEMA).repartition(3).write.parquet(f"file://{tmp_path}/repl_msgs.parquet")
+    got = {n: rows(registry.QUERIES[n](spark, f"file://{tmp_path}")) for n in ("p1_found", "p1_accepted")}
+    assert got["p1_found"] == [(1, 2), (2, 0), (2, 1), (4, 1)]
+    assert got["p1_accepted"] == sorted([(1, None, None, 1, 0), (1, 1, 1, 1, 1), (1, None, 4, 2, 2), (None, None, None, 3, 0)], key=repr)

@@ -188,7 +188,7 @@ def _second_pass(wanted: frozenset[str]):
     return run
 
 
-def outcomes(messages: DataFrame, seen: DataFrame | None = None, wanted: tuple[str, ...] = ("accepted", "surplus", "range")) -> DataFrame:
+def outcomes(messages: DataFrame, seen: DataFrame | None = None, wanted: tuple[str, ...] = ("accepted", "surplus", "range"), unnamed: bool = False) -> DataFrame:
     """Decide every copy of every entry of ``messages``.
 
     ``messages`` has ``delivery_id, store_id, entries[term, index]``; other
@@ -198,15 +198,23 @@ def outcomes(messages: DataFrame, seen: DataFrame | None = None, wanted: tuple[s
     far, cut at block borders (``merge_ranges`` joins them).
 
     The copy first by ``(delivery_id, pos)`` is accepted unless ``seen`` covers
-    it. Empty or NULL ``entries`` give no row; neither does an element whose
-    term and index are both NULL. A NULL in one part of an identifier equals
-    NULL. A NULL delivery_id counts as arrived first.
+    it. Empty or NULL ``entries`` and elements that are NULL give no row. A NULL
+    in one part of an identifier equals NULL. A NULL delivery_id counts as
+    arrived first. With ``unnamed``, an element whose term and index are both
+    NULL is an identifier like any other; without, it gives no row, and only
+    these two fields of the elements are read.
     """
-    entry = F.posexplode(F.arrays_zip(F.col("entries.term").alias("term"), F.col("entries.index").alias("index")))
+    if unnamed:
+        # Only whole elements tell a NULL one from one of NULL fields; the others are left out before the sort.
+        pairs = F.transform("entries", lambda e: F.when(e.isNotNull(), F.struct(e["term"].alias("term"), e["index"].alias("index"))))
+        messages, entry, there = messages.select("delivery_id", "store_id", pairs.alias("entries")), F.posexplode("entries"), F.col("e").isNotNull()
+    else:
+        entry = F.posexplode(F.arrays_zip(F.col("entries.term").alias("term"), F.col("entries.index").alias("index")))
+        there = F.col("e.term").isNotNull() | F.col("e.index").isNotNull()
     rows = messages.select("delivery_id", "store_id", "entries").sortWithinPartitions("delivery_id").select("delivery_id", F.col("store_id").cast("int").alias("store_id"), entry.alias("pos", "e"))
     term, index = F.col("e.term").cast("long"), F.col("e.index").cast("long")
     fine = F.coalesce(F.col("store_id").isNotNull() & term.isNotNull() & index.between(0, TOP), F.lit(False))
-    flow = rows.where(term.isNotNull() | index.isNotNull()).select(
+    flow = rows.where(there).select(
         F.when(fine, ENTRY).otherwise(ODD).cast("tinyint").alias("kind"),
         "store_id",
         term.alias("term"),
@@ -230,14 +238,14 @@ def outcomes(messages: DataFrame, seen: DataFrame | None = None, wanted: tuple[s
     return flow.mapInArrow(_second_pass(frozenset(wanted)), OUT)
 
 
-def surplus_copies(messages: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+def surplus_copies(messages: DataFrame, seen: DataFrame | None = None, unnamed: bool = False) -> DataFrame:
     """Every copy but the one kept: ``delivery_id, pos``."""
-    return outcomes(messages, seen, ("surplus",)).select("delivery_id", "pos")
+    return outcomes(messages, seen, ("surplus",), unnamed).select("delivery_id", "pos")
 
 
-def accepted_entries(messages: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+def accepted_entries(messages: DataFrame, seen: DataFrame | None = None, unnamed: bool = False) -> DataFrame:
     """The kept copies: ``store_id, term, index, delivery_id, pos``, each identifier once."""
-    return outcomes(messages, seen, ("accepted",)).select("store_id", "term", F.col("lo").alias("index"), "delivery_id", "pos")
+    return outcomes(messages, seen, ("accepted",), unnamed).select("store_id", "term", F.col("lo").alias("index"), "delivery_id", "pos")
 
 
 def seen_ranges(messages: DataFrame, seen: DataFrame | None = None) -> DataFrame:

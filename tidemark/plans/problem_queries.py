@@ -11,11 +11,11 @@ from tidemark.sources.tables import table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return delivery.surplus_copies(table(spark, folder, "repl_msgs"))
+    return delivery.surplus_copies(table(spark, folder, "repl_msgs"), unnamed=True)
 
 
 def p1_accepted(spark: SparkSession, folder: str) -> DataFrame:
-    return delivery.accepted_entries(table(spark, folder, "repl_msgs"))
+    return delivery.accepted_entries(table(spark, folder, "repl_msgs"), unnamed=True)
 
 
 def p1_ranges(spark: SparkSession, folder: str) -> DataFrame:
