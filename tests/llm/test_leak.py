@@ -77,3 +77,15 @@ def test_spans_are_cut(spark, rows):
     assert got == {0: ("vor  nach", 1), 1: (".", 1), 2: ("nichts", 0), 3: (None, 0), 4: ("", 0), 5: (long + ".", 1)}
     twice = " ".join(WORDS[:8]) + " und " + " ".join(WORDS[4:13])
     assert rows(leak.cleaned(docs(spark, [twice]), items(spark, ITEM))) == [(0, " und " + " ".join(WORDS[13:13]), 2)]
+
+
+def test_spans_are_cut_alike_by_join(spark, rows, monkeypatch):
+    r = random.Random(9)
+    texts = [*HITS, *MISSES, "vor " + ITEM + " mitten " + ITEM + " nach", ITEM, ITEM] + [" ".join(r.choices(WORDS[:2], k=3) + WORDS[r.randrange(5) :] + WORDS) for _ in range(20)]
+    df = docs(spark, texts).unionByName(spark.createDataFrame([(0, "anders " + ITEM, "x", "y"), (None, ITEM, "x", "y")], DOCS))
+    its = items(spark, ITEM, "too short to leak", None, ITEM + " noch mehr", " ".join(WORDS[2:]))
+    sent = rows(leak.cleaned(df, its))
+    monkeypatch.setattr(leak, "BROADCAST_WINDOWS", 0)  # windows are joined
+    joined = leak.cleaned(df, its)
+    assert rows(joined) == sent and joined.columns == ["doc_id", "text", "n_removed"] and sum(n for *_, n in sent) > 30
+    assert rows(leak.cleaned(df, its.where("text IS NULL"))) == rows(df.selectExpr("doc_id", "text", "0"))

@@ -163,29 +163,78 @@ def leaks(documents: DataFrame, items: DataFrame, n: int = WORDS) -> DataFrame:
 
 def _joined_leaks(documents: DataFrame, items: DataFrame, n: int) -> DataFrame:
     """The same by a join on windows, for item sets that are too large to send."""
+    d = _grams(documents.select(F.col("doc_id").cast("long").alias("id"), "text"), n).select(F.col("id").alias("doc_id"), "coarse", "raw")
+    i = _grams(items.select(F.col("item_id").cast("long").alias("id"), "text"), n).select(F.col("id").alias("item_id"), "coarse", F.col("raw").alias("other"))
+    return _verified(d.join(i, "coarse"), "item_id long, doc_id long").distinct()
+
+
+def _grams(texts: DataFrame, n: int, places: bool = False) -> DataFrame:
+    """``id, place, coarse, raw`` of the windows of ``texts`` (``id, text``), each once.
+
+    ``place`` is the window's first word; without ``places`` it is 0, so that
+    the repeats of a window in a text fall together.
+    """
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words.shared()
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ws = words.split(t)
-                rows = {(" ".join(map(words.coarse, g)), " ".join(g)) for g in (ws[k : k + n] for k in range(len(ws) - n + 1))}
+                rows = {(k if places else 0, " ".join(map(words.coarse, g)), " ".join(g)) for k, g in ((k, ws[k : k + n]) for k in range(len(ws) - n + 1))}
                 if rows:
-                    coarse, raw = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(rows), pa.int64()), pa.array(coarse), pa.array(raw)], names=["id", "coarse", "raw"])
+                    place, coarse, raw = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(rows), b.column(0).type), pa.array(place, pa.int32()), pa.array(coarse), pa.array(raw)], names=["id", "place", "coarse", "raw"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.where("text IS NOT NULL").mapInArrow(grams, f"id {kind}, place int, coarse string, raw string")
+
+
+def _verified(pairs: DataFrame, schema: str) -> DataFrame:
+    """The columns of ``schema`` of those ``pairs`` whose windows ``raw`` and ``other`` read the same."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words.shared()
         for b in batches:
             keep = [all(map(words.same, x.split(" "), y.split(" "))) for x, y in zip(b.column("raw").to_pylist(), b.column("other").to_pylist())]
-            yield b.select(["item_id", "doc_id"]).filter(pa.array(keep, pa.bool_()))
+            yield b.select(names).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select(*names, "raw", "other").mapInArrow(verify, schema)
 
-    def of(df: DataFrame, key: str) -> DataFrame:
-        return df.where("text IS NOT NULL").select(F.col(key).cast("long").alias("id"), "text").mapInArrow(grams, "id long, coarse string, raw string")
 
-    i = of(items, "item_id").select(F.col("id").alias("item_id"), "coarse", F.col("raw").alias("other"))
-    d = of(documents, "doc_id").select(F.col("id").alias("doc_id"), "coarse", "raw")
-    return d.join(i, "coarse").drop("coarse").mapInArrow(verify, "item_id long, doc_id long").distinct()
+def _without(text: str, spans: list[tuple[int, int]], starts: list[int], n: int) -> tuple[str, int]:
+    """``text`` without the windows that begin at the words ``starts`` (in order), and how many pieces went."""
+    gone: list[list[int]] = []
+    for k in starts:
+        begin, end = spans[k][0], spans[k + n - 1][1]
+        if gone and begin <= gone[-1][1]:
+            gone[-1][1] = end
+        else:
+            gone.append([begin, end])
+    for begin, end in reversed(gone):
+        text = text[:begin] + text[end:]
+    return text, len(gone)
+
+
+def _cut_texts(b: pa.RecordBatch, starts: Iterator[list[int]], n: int) -> pa.RecordBatch:
+    """The result rows of a batch ``doc_id, text``, given the windows to cut from each text."""
+    words = Words.shared()
+    done = [_without(t, words.spans(t), ks, n) if ks else (t, 0) for t, ks in zip(b.column("text").to_pylist(), starts)]
+    return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([t for t, _ in done], pa.string()), pa.array([r for _, r in done], pa.int32())], names=["doc_id", "text", "n_removed"])
+
+
+def _joined_cleaned(documents: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """``cleaned`` by a join on windows. Where a text leaks depends on the text alone, so equal texts are looked up once."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.sha2("text", 256).alias("id"))
+    d = _grams(rows.where("text IS NOT NULL").groupBy("id").agg(F.max("text").alias("text")), n, places=True)
+    i = _grams(items.select(F.col("item_id").cast("long").alias("id"), "text"), n).select("coarse", F.col("raw").alias("other")).distinct()
+    hits = _verified(d.join(i, "coarse"), "id string, place int").groupBy("id").agg(F.sort_array(F.collect_set("place")).alias("places"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _cut_texts(b, b.column("places").to_pylist(), n)
+
+    return rows.join(hits, "id", "left").select("doc_id", "text", "places").mapInArrow(cut, "doc_id long, text string, n_removed int")
 
 
 def cleaned(documents: DataFrame, items: DataFrame, n: int = WORDS) -> DataFrame:
@@ -193,31 +242,17 @@ def cleaned(documents: DataFrame, items: DataFrame, n: int = WORDS) -> DataFrame
 
     A span is a stretch of words in which every window is a leak, from the
     first word's beginning to the last word's end. Documents without a leak,
-    NULL texts too, come out as they are with ``n_removed`` 0. The items must
-    fit the size that may be sent to every task; otherwise this raises.
+    NULL texts too, come out as they are with ``n_removed`` 0. Items of any
+    number are cut: too many to send to every task are joined.
     """
     windows = _windows(items, n)
     if windows is None:
-        raise ValueError("too many item windows to cut spans; find the documents by leaks() and drop them")
+        return _joined_cleaned(documents, items, n)
     sent = documents.sparkSession.sparkContext.broadcast(windows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, words = sent.value.prepare(), Words.shared()
         for b in batches:
-            texts, removed = [], []
-            for t in b.column("text").to_pylist():
-                spans = words.spans(t) if t else []
-                gone: list[list[int]] = []
-                for k in sorted({k for _, k in held.hits([t[x:y] for x, y in spans])}) if len(spans) >= n else []:
-                    begin, end = spans[k][0], spans[k + n - 1][1]
-                    if gone and begin <= gone[-1][1]:
-                        gone[-1][1] = end
-                    else:
-                        gone.append([begin, end])
-                for begin, end in reversed(gone):
-                    t = t[:begin] + t[end:]
-                texts.append(t)
-                removed.append(len(gone))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], names=["doc_id", "text", "n_removed"])
+            yield _cut_texts(b, [sorted({k for _, k in held.hits(words.split(t))}) if t else [] for t in b.column("text").to_pylist()], n)
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, text string, n_removed int")
