@@ -5,21 +5,24 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 
 class CommitLog:
     """``<path>/<n>.json`` for n = 1, 2, ...; readers know only what these name.
 
-    A commit is written under another name and renamed. Where the file system
-    refuses to rename onto an existing file (as HDFS does), of two writers of
-    one number exactly one succeeds; elsewhere the check before it leaves a
-    short gap, so run one committer at a time there.
+    A commit is written under another name and then given its own without
+    overwriting: by a hard link on a local disk, else by a rename that fails if
+    the name is taken (atomic on HDFS). Of two writers of one number exactly one
+    succeeds. Object stores without such a rename need one committer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self._jvm, self.path = spark.sparkContext._jvm, path.rstrip("/")
-        self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._at("").getFileSystem(self._conf)
 
     def _at(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
@@ -48,9 +51,29 @@ class CommitLog:
         out = self._fs.create(temporary, True)
         out.write(bytearray(json.dumps(entry).encode()))
         out.close()
-        if self._fs.exists(final) or not self._fs.rename(temporary, final):
+        try:
+            if self._fs.getUri().getScheme() == "file":
+                nio = [self._jvm.java.io.File(x.toUri().getPath()).toPath() for x in (final, temporary)]
+                self._jvm.java.nio.file.Files.createLink(*nio)
+            else:
+                none = self._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+                options = SparkContext._gateway.new_array(none.getClass(), 1)
+                options[0] = none
+                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(temporary.toUri()).rename(temporary, final, options)
+        except Py4JJavaError as e:
+            raise RuntimeError(f"commit {n} was made by another writer") from e
+        finally:
             self._fs.delete(temporary, False)
-            raise RuntimeError(f"commit {n} was made by another writer")
+
+    def is_file(self, path: str) -> bool:
+        at = self._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(self._conf)
+        return fs.exists(at) and fs.getFileStatus(at).isFile()
+
+    def trim(self, keep: int) -> None:
+        """Forget all but the last ``keep`` commits; what only they name must be deleted before."""
+        for n in self.numbers()[: -max(1, keep)]:
+            self._fs.delete(self._at(f"{n}.json"), False)
 
     def exists(self, path: str) -> bool:
         return self._fs.exists(self._jvm.org.apache.hadoop.fs.Path(path))
