@@ -32,13 +32,13 @@ def test_against_brute_force(spark, rows, tmp_path):
     state.advance(f"{tmp_path}/ops", (f"{tmp_path}/old",))
     df = spark.read.parquet(f"{tmp_path}/ops")
     want = brute({(s, k) for s, k in stored if k is not None}, a)
-    assert dict(rows(state.verdicts(df))) == want
-    assert rows(state.repeats(df)) == sorted([(i,) for i, v in want.items() if v == "repeat"], key=repr)
+    assert dict(rows(state.verdicts())) == want
+    assert rows(state.repeats()) == sorted([(i,) for i, v in want.items() if v == "repeat"], key=repr)
     exact = seen.exact_repeats(df, spark.createDataFrame(stored, "store_id int, key string"))
-    assert rows(exact) == rows(state.repeats(df))
+    assert rows(exact) == rows(state.repeats())
     keyed = sum(v != "no key" for v in want.values())
-    assert rows(seen.error_rate(df, state.verdicts(df), exact)) == [(keyed, sum(v == "repeat" for v in want.values()), 0, 0.0)]
-    wrong = state.verdicts(df).withColumn("verdict", __import__("pyspark").sql.functions.lit("first"))
+    assert rows(seen.error_rate(df, state.verdicts(), exact)) == [(keyed, sum(v == "repeat" for v in want.values()), 0, 0.0)]
+    wrong = state.verdicts().withColumn("verdict", __import__("pyspark").sql.functions.lit("first"))
     assert seen.error_rate(df, wrong, exact).first().n_wrong == sum(v == "repeat" for v in want.values())
 
 
@@ -49,7 +49,7 @@ def test_goes_on_from_its_checkpoint(spark, rows, tmp_path):
         write(spark, tmp_path / "ops", part, ARRIVING, 2)
         seen.SeenKeys(spark, f"file://{tmp_path}/state").advance(f"{tmp_path}/ops", files_per_batch=1 if i else None)
     state, df = seen.SeenKeys(spark, f"file://{tmp_path}/state"), spark.read.parquet(f"{tmp_path}/ops")
-    assert dict(rows(state.verdicts(df))) == brute(set(), late + early)
+    assert dict(rows(state.verdicts())) == brute(set(), late + early)
 
 
 def test_a_single_file_and_no_rows(spark, rows, tmp_path):
@@ -57,12 +57,12 @@ def test_a_single_file_and_no_rows(spark, rows, tmp_path):
     state = seen.SeenKeys(spark, f"file://{tmp_path}/state")
     state.advance(f"{tmp_path}/ops")
     df = spark.read.parquet(f"{tmp_path}/ops")
-    assert rows(state.repeats(df)) == [] and rows(state.verdicts(df)) == []
-    assert rows(seen.error_rate(df, state.verdicts(df), state.repeats(df))) == [(0, 0, 0, None)]
+    assert rows(state.repeats()) == [] and rows(state.verdicts()) == []
+    assert rows(seen.error_rate(df, state.verdicts(), state.repeats())) == [(0, 0, 0, None)]
     import pyarrow as pa
     import pyarrow.parquet as pq
 
     pq.write_table(pa.table({"op_id": pa.array([1, 2], pa.int64()), "store_id": pa.array([1, 1], pa.int32()), "key": ["a", "a"]}), f"{tmp_path}/one.parquet")
     state = seen.SeenKeys(spark, f"file://{tmp_path}/state2")
     state.advance(f"{tmp_path}/one.parquet")
-    assert rows(state.repeats(spark.read.parquet(f"{tmp_path}/one.parquet"))) == [(2,)]
+    assert rows(state.repeats()) == [(2,)]

@@ -11,17 +11,25 @@ from tidemark.sources.tables import table
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return seen.over_folder(spark, folder).repeats(table(spark, folder, "incoming_ops"))
+    return seen.over_folder(spark, folder).repeats()
 
 
 def p5_verdicts(spark: SparkSession, folder: str) -> DataFrame:
-    return seen.over_folder(spark, folder).verdicts(table(spark, folder, "incoming_ops"))
+    return seen.over_folder(spark, folder).verdicts()
 
 
 def p5_error_rate(spark: SparkSession, folder: str) -> DataFrame:
     ops = table(spark, folder, "incoming_ops")
     stored = table(spark, folder, "leader_sst").select("store_id", "key").unionByName(table(spark, folder, "sst_index").select("store_id", "key"))
-    return seen.error_rate(ops, seen.over_folder(spark, folder).verdicts(ops), seen.exact_repeats(ops, stored))
+    return seen.error_rate(ops, seen.over_folder(spark, folder).verdicts(), seen.exact_repeats(ops, stored))
+
+
+def p5_error_rate_of_a_worse_answer(spark: SparkSession, folder: str) -> DataFrame:
+    """The rate of wrong answers of the verdicts after every tenth of them was turned to ``first``."""
+    ops = table(spark, folder, "incoming_ops")
+    stored = table(spark, folder, "leader_sst").select("store_id", "key").unionByName(table(spark, folder, "sst_index").select("store_id", "key"))
+    worse = seen.over_folder(spark, folder).verdicts().withColumn("verdict", F.when(F.col("op_id") % 10 == 0, "first").otherwise(F.col("verdict")))
+    return seen.error_rate(ops, worse, seen.exact_repeats(ops, stored))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,7 +75,7 @@ def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.classes(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_verdicts, p5_error_rate, p6_found, p6_cleaned, p6_items, p7_mixture, p7_shares, p7_exact_mixture, p7_exact_shares, p8_found, p8_forms, p8_classes)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_verdicts, p5_error_rate, p5_error_rate_of_a_worse_answer, p6_found, p6_cleaned, p6_items, p7_mixture, p7_shares, p7_exact_mixture, p7_exact_shares, p8_found, p8_forms, p8_classes)}
 
 _SEEN = """WITH k AS (SELECT store_id, key, -1 AS op_id FROM leader_sst UNION ALL SELECT store_id, key, -1 FROM sst_index
 UNION ALL SELECT store_id, key, op_id FROM incoming_ops),
@@ -77,4 +85,6 @@ SQL = {
     "p5_found": _SEEN + "SELECT op_id FROM v WHERE repeated",
     "p5_verdicts": _SEEN + "SELECT op_id, CASE WHEN repeated IS NULL THEN 'no key' WHEN repeated THEN 'repeat' ELSE 'first' END AS verdict FROM v",
     "p5_error_rate": _SEEN + "SELECT count(repeated) AS n_rows, count(*) FILTER (repeated) AS n_repeats, CAST(0 AS BIGINT) AS n_wrong, CAST(0 AS DOUBLE) AS wrong_rate FROM v",
+    "p5_error_rate_of_a_worse_answer": _SEEN + """, w AS (SELECT repeated, repeated AND op_id % 10 = 0 AS wrong FROM v WHERE repeated IS NOT NULL)
+SELECT count(*) AS n_rows, count(*) FILTER (repeated) AS n_repeats, count(*) FILTER (wrong) AS n_wrong, count(*) FILTER (wrong) / count(*) AS wrong_rate FROM w""",
 }
