@@ -44,6 +44,7 @@ def test_runs_neither_skip_nor_repeat(spark, rows, tmp_path):
     assert rows(store.output(2), "index", "term") == [(2, 1), (3, 2)]
     assert rows(store.marks()) == [(1, 1, 30, 2)]
     assert store.run(df(), marks) == 3 and store.output(3).isEmpty()
+    assert len(store.vacuum()) == 1 and store.vacuum() == [] and store.output(2).count() == 2
     with pytest.raises(RuntimeError):
         store.log.publish(3, {})
 

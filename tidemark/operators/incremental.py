@@ -1,8 +1,8 @@
 """Only what was added or replaced since the last good run, with an atomic commit.
 
-A run fixes its upper limit (``feed_pos``) before it reads, takes the entries
-above each follower's watermark, writes them to a folder of its own, and then
-publishes output and new watermark together by creating one commit file. A run
+A run fixes its upper limit (``feed_pos``) before it reads, takes what arrived
+above the last one, writes it to a folder of its own, and then publishes output
+and new watermark together by creating one commit file. A run
 that dies before that leaves a folder nobody names; the next run starts from
 the same watermark, so nothing is skipped and nothing is repeated.
 """
@@ -19,6 +19,10 @@ from tidemark.sources.commitlog import CommitLog
 LOWEST = -(1 << 62)
 #: Stores whose watermarks may be broadcast: some 60 bytes each, so 12 MB.
 BROADCAST_STORES = 200_000
+BLOCK_BITS = 16
+#: Entries of a bucket of the kept state, in the first run.
+ENTRIES_PER_BUCKET = 4_000_000
+ENTRIES = "store_id int, index long, term long, seq long, placed long, bucket int"
 
 
 def watermarks(runs: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -39,9 +43,11 @@ def watermarks(runs: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
-def upper_limit(log: DataFrame) -> int:
-    """The last feed position there is now; rows that arrive later wait for the next run."""
-    return log.agg(F.max("feed_pos")).first()[0] or 0
+def upper_limit(log: DataFrame, after: int | None = None) -> int:
+    """The last feed position there is now; rows that arrive later wait for the next run. Reads only what lies above ``after``."""
+    if after is not None:
+        log = log.where(F.col("feed_pos") > after)
+    return log.agg(F.max("feed_pos")).first()[0] or after or 0
 
 
 def _until(log: DataFrame, upto: int) -> DataFrame:
@@ -85,72 +91,130 @@ def changed_entries(log: DataFrame, marks: DataFrame, upto: int | None = None) -
     )
 
 
-def arrived_entries(log: DataFrame, followers: DataFrame, after: int, upto: int) -> DataFrame:
-    """Entries that came into force by rows in ``(after, upto]``, for each follower.
+def _arrivals(log: DataFrame, after: int | None, upto: int) -> DataFrame:
+    """``store_id, index, term, seq, placed``: by index, the entry in force among the rows that arrived in ``(after, upto]``.
 
-    The watermark is the feed position, which rises with arrival, so a late
-    entry of low ``seq`` is not passed over. An entry counts if the first row of
-    its term lies above ``after``. Of the older rows only those sharing an
-    ``(store_id, index)`` with a new one are compared. Nothing tells when a row
-    of NULL ``feed_pos`` arrived: it is new in every run, unless a copy of its
-    entry lies at or below ``after``, as a repeated entry is safer than a lost one.
+    ``placed`` is the highest term of a row with a feed position. Fixed-width
+    values throughout, so copies are joined in a hash table before the shuffle.
     """
-    rows = _until(log, upto).select("store_id", "index", "term", "seq", F.coalesce("feed_pos", F.lit(-LOWEST)).alias("feed_pos")).where("store_id IS NOT NULL AND index IS NOT NULL")
-    fresh = rows.where(F.col("feed_pos") > after)
-    older = rows.where(F.col("feed_pos") <= after).join(fresh.select("store_id", "index").distinct(), ["store_id", "index"], "left_semi")
-    force = (
-        fresh.unionByName(older)
-        .groupBy("store_id", "index")
-        .agg(F.max(F.struct("term", (-F.col("feed_pos")).alias("back"), "seq")).alias("e"))
-        .where(-F.col("e.back") > after)
-    )
-    nodes = followers.groupBy("store_id").agg(F.collect_set("node_id").alias("nodes"))
-    return force.join(nodes, "store_id").select("store_id", F.explode("nodes").alias("node_id"), "index", "e.term", "e.seq")
+    at = F.col("feed_pos")
+    here = at <= upto if after is None else (at > after) & (at <= upto)
+    rows = log.where((here | at.isNull()) & F.col("store_id").isNotNull() & F.col("index").isNotNull())
+    rank = F.coalesce("term", F.lit(LOWEST))
+    return rows.groupBy("store_id", "index").agg(F.max("term").alias("term"), F.max_by("seq", rank).alias("seq"), F.max(F.when(at.isNotNull(), rank)).alias("placed"))
+
+
+def _bucket(n: int) -> F.Column:
+    """Blocks of 65,536 positions of a log stay together, so that what arrives in order meets few buckets."""
+    return F.pmod(F.xxhash64("store_id", F.shiftright("index", BLOCK_BITS)), F.lit(n)).cast("int")
 
 
-def advanced(log: DataFrame, marks: DataFrame, upto: int) -> DataFrame:
-    """The watermarks after a run up to ``upto``; they never go back."""
-    top = _until(log, upto).groupBy("store_id").agg(F.max("seq").alias("seq"), F.max("term").alias("term"))
-    return marks.join(top, "store_id", "left").select("store_id", "node_id", F.greatest("max_seq", "seq").alias("max_seq"), F.greatest("hi_term", "term").alias("hi_term"))
+def _small(followers: DataFrame) -> DataFrame:
+    """Followers, sent to every task if there are few; a store of many entries then has no task of its own."""
+    return F.broadcast(followers) if followers.count() <= BROADCAST_STORES else followers
+
+
+def due_by_marks(force: DataFrame, marks: DataFrame) -> DataFrame:
+    """Entries in force (``store_id, index, term, seq``) above each follower's own watermark; a NULL seq is above all."""
+    seq, marks = F.coalesce("seq", F.lit(-LOWEST)), marks.where("store_id IS NOT NULL")
+    rows = force.join(_small(marks), "store_id").where((seq > F.col("max_seq")) | (F.col("term") > F.col("hi_term")))
+    return rows.select("store_id", "node_id", "index", "term", seq.alias("seq"))
 
 
 class RunStore:
-    """Outputs and watermarks of runs below one folder, published by commit files."""
+    """Outputs, watermarks and entries of runs below one folder, published by commit files.
+
+    A run reads the rows of the feed in ``(after, upto]`` alone. What it must
+    know of earlier ones is kept with the commits: the entries in force, as one
+    part a run, in buckets of blocks of positions, of which it reads those it
+    meets; and the highest ``seq`` and ``term`` of each store.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
         self.log = CommitLog(spark, f"{self.path}/commits")
 
+    def _read(self, folder: str, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{folder}/{name}")
+
     def marks(self) -> DataFrame | None:
         """Watermarks of the last committed run."""
         _, entry = self.log.latest()
-        return self.spark.read.parquet(f"{self.path}/{entry['run']}/marks") if entry else None
+        return self._read(entry["run"], "marks") if entry else None
 
     def output(self, n: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.log.read(n)['run']}/output")
+        return self._read(self.log.read(n)["run"], "output")
+
+    def _entries(self, folders: list[str]) -> DataFrame:
+        """``store_id, index, term, seq, placed, bucket`` as the parts of several runs have them."""
+        return self.spark.read.schema(ENTRIES).option("basePath", f"{self.path}/entries").parquet(*[f"{self.path}/entries/part={f}" for f in folders]).drop("part")
+
+    def _new(self, fresh: DataFrame, last: dict) -> DataFrame:
+        """Of ``fresh`` entries those whose term no earlier run has placed."""
+        held = self._entries(last["parts"]).where("placed IS NOT NULL")
+        if last["buckets"] > 1:
+            met = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most all buckets
+            held = held.where(F.col("bucket").isin(met))
+        held = held.groupBy("bucket", "store_id", "index").agg(F.max("placed").alias("held"))
+        rank = F.coalesce("term", F.lit(LOWEST))
+        return fresh.join(held, ["bucket", "store_id", "index"], "left").where(F.col("held").isNull() | (F.col("held") < rank)).drop("held")
 
     def run(self, log: DataFrame, first_marks: DataFrame, fail_before_commit: bool = False) -> int:
         """Process what is new, commit output and watermark as one, return the run's number.
 
-        The first run starts from ``first_marks``, the watermarks the followers'
-        own run history gives; every later one from the feed position that the
-        last commit names. A follower the last commit doesn't know starts from
-        its own watermark in ``first_marks``, whenever it appears.
+        Output is ``store_id, node_id, index, term, seq``. A follower's first
+        run starts from its watermark in ``first_marks``, whenever it appears:
+        all entries in force so far that lie above it are due. After that an
+        entry is due once it has come into force by a row above the last
+        commit's ``upto``, so a late entry of low ``seq`` is not passed over.
+        Nothing tells when a row of NULL ``feed_pos`` arrived: it is due in every
+        run until a copy of its entry has a position, as a repeated entry is
+        safer than a lost one. Rows without store or index name no entry.
         """
         done, last = self.log.latest()
-        upto = upper_limit(log)
-        folder = f"run-{uuid.uuid4().hex}"
+        after = last["upto"] if last else None
+        upto, folder = upper_limit(log, after), f"run-{uuid.uuid4().hex}"
+        buckets = last["buckets"] if last else max(1, log.count() // ENTRIES_PER_BUCKET)
+        fresh = _arrivals(log, after, upto).withColumn("bucket", _bucket(buckets))
+        arrived = self._new(fresh, last) if last else fresh
+        if buckets > 1:
+            arrived = arrived.repartition("bucket")
+        arrived.write.partitionBy("bucket").parquet(f"{self.path}/entries/part={folder}")
+        arrived = self._entries([folder])
+
+        tops = arrived.select("store_id", "seq", "term")
+        if last:
+            tops = tops.unionByName(self._read(last["run"], "tops"))
+        tops.groupBy("store_id").agg(F.max("seq").alias("seq"), F.max("term").alias("term")).write.parquet(f"{self.path}/{folder}/tops")
+
+        parts = [*(last["parts"] if last else []), folder]
         if last:
             known = self.marks()
             same = [first_marks[c].eqNullSafe(known[c]) for c in ("store_id", "node_id")]
-            new = first_marks.join(known, same, "left_anti").select(*known.columns)
-            due = arrived_entries(log, known, last["upto"], upto).unionByName(changed_entries(log, new, upto))
-            marks = known.unionByName(new)
+            late = first_marks.join(known, same, "left_anti").select(*known.columns)
+            due = arrived.join(_small(known.select("store_id", "node_id")), "store_id").select("store_id", "node_id", "index", "term", "seq")
+            if not late.isEmpty():
+                all_ = self._entries(parts).join(late.select("store_id").distinct(), "store_id", "left_semi")
+                force = all_.groupBy("store_id", "index").agg(F.max("term").alias("term"), F.max_by("seq", F.coalesce("term", F.lit(LOWEST))).alias("seq"))
+                due = due.unionByName(due_by_marks(force, late))
+            marks = known.unionByName(late)
         else:
-            marks, due = first_marks, changed_entries(log, first_marks, upto)
+            marks, due = first_marks, due_by_marks(arrived, first_marks)
         due.write.parquet(f"{self.path}/{folder}/output")
-        advanced(log, marks, upto).write.parquet(f"{self.path}/{folder}/marks")
+        top = self._read(folder, "tops").select("store_id", F.col("seq").alias("_seq"), F.col("term").alias("_term"))
+        marks = marks.join(top, "store_id", "left")
+        marks.select("store_id", "node_id", F.greatest("max_seq", "_seq").alias("max_seq"), F.greatest("hi_term", "_term").alias("hi_term")).write.parquet(f"{self.path}/{folder}/marks")
         if fail_before_commit:
             raise RuntimeError("stopped before the commit")
-        self.log.publish(done + 1, {"run": folder, "upto": upto})
+        self.log.publish(done + 1, {"run": folder, "upto": upto, "parts": parts, "buckets": buckets})
         return done + 1
+
+    def vacuum(self) -> list[str]:
+        """Delete the folders that no commit names, those of failed runs; returns their names. Not while a run is under way."""
+        named = {f for n in self.log.numbers() for e in (self.log.read(n),) for f in (e["run"], *e["parts"])}
+        made = {f.removeprefix("part=") for where in (self.path, f"{self.path}/entries") for f in self.log.folders(where)}
+        gone = sorted(f for f in made - named if f.startswith("run-"))
+        for f in gone:
+            self.log.delete(f"{self.path}/{f}")
+            self.log.delete(f"{self.path}/entries/part={f}")
+        return gone

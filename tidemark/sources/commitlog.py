@@ -70,6 +70,11 @@ class CommitLog:
         fs = at.getFileSystem(self._conf)
         return fs.exists(at) and fs.getFileStatus(at).isFile()
 
+    def folders(self, path: str) -> list[str]:
+        """Names of the folders in ``path``."""
+        at = self._jvm.org.apache.hadoop.fs.Path(path)
+        return sorted(s.getPath().getName() for s in at.getFileSystem(self._conf).listStatus(at) if s.isDirectory())
+
     def trim(self, keep: int) -> None:
         """Forget all but the last ``keep`` commits; what only they name must be deleted before."""
         for n in self.numbers()[: -max(1, keep)]:
