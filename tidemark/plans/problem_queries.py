@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import changefeed, delivery, incremental, reconcile
+from tidemark.operators.feedstore import FeedStore
 from tidemark.scratch import scratch_path
 from tidemark.sources.tables import table
 
@@ -28,6 +29,22 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return runs.output(runs.run(table(spark, folder, "repl_log"), marks)).select("store_id", "node_id", "index")
 
 
+def p2_increments(spark: SparkSession, folder: str) -> DataFrame:
+    """Four runs as the feed grows by quarters; the second one's first attempt dies, and node 2 appears with the third."""
+    marks = incremental.watermarks(table(spark, folder, "apply_runs"), table(spark, folder, "manifest"))
+    log, runs = table(spark, folder, "repl_log"), incremental.RunStore(spark, scratch_path(spark, "p2"))
+    last, parts = log.agg(F.max("feed_pos")).first()[0] or 0, []
+    for n in range(1, 5):
+        so_far, followers = log.where(F.col("feed_pos") <= last * n // 4), marks if n > 2 else marks.where("node_id <> 2")
+        if n == 2:
+            try:
+                runs.run(so_far, followers, fail_before_commit=True)
+            except RuntimeError:
+                pass
+        parts.append(runs.output(runs.run(so_far, followers)).select(F.lit(n).alias("run"), "store_id", "node_id", "index", "term"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 def p2_watermarks(spark: SparkSession, folder: str) -> DataFrame:
     return incremental.watermarks(table(spark, folder, "apply_runs"), table(spark, folder, "manifest"))
 
@@ -40,6 +57,15 @@ def p3_state(spark: SparkSession, folder: str) -> DataFrame:
     return changefeed.live_rows(table(spark, folder, "repl_log"))
 
 
+def p3_increments(spark: SparkSession, folder: str) -> DataFrame:
+    """The live keys after five increments in order of arrival, each with half of the one before again."""
+    feed, store = table(spark, folder, "repl_log"), FeedStore(spark, scratch_path(spark, "p3"))
+    last = feed.agg(F.max("feed_pos")).first()[0] or 0
+    for n in range(1, 6):
+        store.apply(feed.where((F.col("feed_pos") > last * (2 * n - 3) // 10) & (F.col("feed_pos") <= last * n // 5)), batch=("repl_log", n))
+    return store.live()
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return reconcile.differences(table(spark, folder, "leader_sst"), table(spark, folder, "follower_sst"))
 
@@ -48,7 +74,7 @@ def p4_summary(spark: SparkSession, folder: str) -> DataFrame:
     return p4_found(spark, folder).groupBy("store_id", "field").agg(F.count("*").alias("n_cases"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_accepted, p1_ranges, p2_found, p2_watermarks, p3_found, p3_state, p4_found, p4_summary)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_accepted, p1_ranges, p2_found, p2_increments, p2_watermarks, p3_found, p3_state, p3_increments, p4_found, p4_summary)}
 
 _COPIES = """WITH e AS (SELECT delivery_id, store_id, unnest(generate_series(0, len(entries) - 1)) AS p, entries FROM repl_msgs WHERE len(entries) > 0),
 c AS (SELECT delivery_id, CAST(p AS INTEGER) AS pos, store_id, entries[p + 1].term AS term, entries[p + 1]."index" AS "index" FROM e),
@@ -75,9 +101,14 @@ SQL = {
     + """, i AS (SELECT store_id, term, "index", "index" - row_number() OVER (PARTITION BY store_id, term ORDER BY "index") AS island FROM r WHERE n = 1)
 SELECT store_id, term, min("index") AS lo, max("index") AS hi FROM i GROUP BY store_id, term, island""",
     "p2_found": _FORCE + _MARKS + 'SELECT w.store_id, w.node_id, f."index" FROM w JOIN f ON f.store_id = w.store_id WHERE f.seq > w.max_seq OR f.term > w.hi_term',
+    "p2_increments": """WITH u AS (SELECT run, (SELECT max(feed_pos) FROM repl_log) * run // 4 AS upto, (SELECT max(feed_pos) FROM repl_log) * (run - 1) // 4 AS since FROM (SELECT unnest([1, 2, 3, 4]) AS run)),
+f AS (SELECT run, since, store_id, "index", term, seq, feed_pos, row_number() OVER (PARTITION BY run, store_id, "index" ORDER BY term DESC, feed_pos) AS n FROM repl_log JOIN u ON feed_pos <= upto), """ + _MARKS
+    + """SELECT f.run, w.store_id, w.node_id, f."index", f.term FROM w JOIN f ON f.store_id = w.store_id AND f.n = 1
+WHERE CASE WHEN f.run = (CASE w.node_id WHEN 2 THEN 3 ELSE 1 END) THEN f.seq > w.max_seq OR f.term > w.hi_term WHEN f.run > (CASE w.node_id WHEN 2 THEN 3 ELSE 1 END) THEN f.feed_pos > f.since ELSE false END""",
     "p2_watermarks": "WITH " + _MARKS + "SELECT store_id, node_id, max_seq, hi_term FROM w",
     "p3_found": _FORCE + _LIVE + 'SELECT store_id, key, "index" FROM g WHERE put',
     "p3_state": _FORCE + _LIVE + 'SELECT store_id, key, "index", value FROM g WHERE put',
+    "p3_increments": _FORCE + _LIVE + 'SELECT store_id, key, "index", value FROM g WHERE put',
     "p4_found": _CASES + "SELECT store_id, key, field FROM c",
     "p4_summary": _CASES + "SELECT store_id, field, count(*) AS n_cases FROM c GROUP BY store_id, field",
 }
