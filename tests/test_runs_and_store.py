@@ -131,3 +131,38 @@ def test_broken_segment_is_replayed_to_the_first_bad_record(spark, rows, tmp_pat
 def test_lww_of_runs_is_their_merge(spark, rows):
     a, b = ops(spark, [("a", "1"), ("b", "1")]), ops(spark, [("a", None), ("c", "2")], 3)
     assert rows(lww.merge_runs(a, b)) == [("a", None, 3, "DELETE"), ("b", "1", 2, "PUT"), ("c", "2", 4, "PUT")]
+
+
+def test_compaction_writes_files_that_do_not_meet(spark, rows, tmp_path, monkeypatch):
+    from tidemark.plans import store as module
+
+    monkeypatch.setattr(module, "FILE_BYTES", 800)
+    monkeypatch.setattr(runs, "LEVEL_BYTES", {1: 2000, 2: 100 << 20})
+    store, r, state = Store(spark, f"file://{tmp_path}/f"), random.Random(3), {}
+    for step in range(4):
+        items = [(f"k{r.randrange(200):03d}", f"v{step}" if r.random() < 0.8 else None) for _ in range(60)]
+        store.load(ops(spark, items, 1 + 60 * step))
+        state |= dict(items)
+    assert store.due_levels() == [0] and not store.wait_for_compaction(0.1)
+    store.compact(0)
+    level = [x for x in store.state["runs"] if x["level"] == 1]
+    assert len(level) > 2 and all(a["max_key"] < b["min_key"] for a, b in zip(level, level[1:])) and sum(x["n_rows"] for x in level) == sum(v is not None for v in state.values())
+    want = sorted((k, v) for k, v in state.items() if v is not None)
+    assert rows(store.snapshot(), "key", "value") == want
+    first = level[0]
+    assert [x.key for x in store.pull(first["id"])] == sorted(k for k, _ in want if k <= first["max_key"]) and store.file(first["id"]) == first and store.file(-1) is None
+    assert [(x.key, x.value) for x in store.pull()] == want
+    # A merge of a narrow run rewrites only the files it meets.
+    store.load(ops(spark, [(level[1]["min_key"], "new")], 1000))
+    store.compact(0)
+    kept = {x["id"] for x in store.state["runs"]}
+    assert {x["id"] for x in level} - kept == {level[1]["id"]}
+    assert store.compact_due() == 1 and store.wait_for_compaction(0.1)  # as many files as are over the limit, in one go
+    assert rows(store.snapshot(), "key", "value") == sorted((dict(want) | {level[1]["min_key"]: "new"}).items())
+    store.pause()
+    assert Store(spark, store.path).paused and Store(spark, store.path).compact_due() == 0
+    Store(spark, store.path).resume()
+    store = Store(spark, store.path)
+    (tmp_path / "f/runs/run_of_a_failed_write").mkdir()
+    assert "runs/run_of_a_failed_write" in store.vacuum(keep=1, unfinished=True)
+    assert rows(store.snapshot(), "key", "value") == sorted((dict(want) | {level[1]["min_key"]: "new"}).items()) and store.log.numbers() == [store.version]

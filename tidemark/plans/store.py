@@ -8,9 +8,11 @@ version: readers keep the version they opened, and files are only deleted by
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.record_bytes import wal_checksum
@@ -20,6 +22,8 @@ from tidemark.sources.commitlog import CommitLog
 
 MEMTABLE_BYTES = 8 << 20
 LAST_LEVEL = 3
+#: Bytes of records of a file that a compaction writes; below that, as many files as there are cores, of LEAST_BYTES.
+FILE_BYTES, LEAST_BYTES = 128 << 20, 4 << 20
 COLUMNS = ["key", "value", "seq", "op"]
 
 
@@ -29,7 +33,7 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, version: int | None = None) -> None:
         self.spark, self.path = spark, path.rstrip("/")
         self.log = CommitLog(spark, f"{self.path}/manifest")
-        self.paused = False
+        self._stops: dict[str, int | None] = {}
         n, entry = self.log.latest()
         if version is not None:
             n, entry = version, self.log.read(version)
@@ -52,15 +56,25 @@ class Store:
     def _read(self, names: list[str]) -> DataFrame:
         return self.spark.read.schema(OPLOG).parquet(*[f"{self.path}/{n}" for n in names]) if names else self._empty()
 
+    def _first_bad(self) -> dict[str, int | None]:
+        """For each segment the first sequence number of a bad record, or None. A segment is checked once by a ``Store``, not by each read."""
+        new = [n for n in self.state["segments"] if n not in self._stops]
+        if new:
+            # One folder per segment; the records of a segment are checked by their own column.
+            rows = self.spark.read.schema(OPLOG + ", checksum long").parquet(*[f"{self.path}/{n}" for n in new]).withColumn("segment", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+            bad = F.coalesce(F.col("checksum") != wal_checksum(F.col("seq"), F.col("op"), F.col("key"), F.col("value")), F.lit(True))
+            found = {r.segment: r.stop for r in rows.where(bad).groupBy("segment").agg(F.min("seq").alias("stop")).collect()}  # one row a broken segment
+            self._stops |= {n: found.get(n.rpartition("/")[2]) for n in new}
+        return self._stops
+
     def memtable(self) -> DataFrame:
         """Operations not flushed yet: of each segment what comes before its first bad record."""
-        if not self.state["segments"]:
-            return self._empty()
-        names = [f"{self.path}/{n}" for n in self.state["segments"]]
-        # One folder per segment; the records of a segment are checked by their own column.
-        rows = self.spark.read.schema(OPLOG + ", checksum long").parquet(*names).withColumn("segment", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
-        bad = F.col("checksum") != wal_checksum(F.col("seq"), F.col("op"), F.col("key"), F.col("value"))
-        return wal.replay(rows, bad, "seq", ["segment"]).select(*COLUMNS)
+        stops = self._first_bad()
+        out = self._read([n for n in self.state["segments"] if stops[n] is None])
+        for n in self.state["segments"]:
+            if stops[n] is not None:
+                out = out.unionByName(self._read([n]).where(F.col("seq") < stops[n]))
+        return out.where("seq IS NOT NULL").select(*COLUMNS)
 
     def files_for(self, low: str | None, high: str | None) -> list[dict]:
         """The runs whose key range meets ``[low, high]``, chosen from the manifest without opening any."""
@@ -89,6 +103,22 @@ class Store:
     def scan(self, low: str | None = None, high: str | None = None) -> DataFrame:
         return lww.snapshot(self.rows(low, high))
 
+    def file(self, id: int) -> dict | None:
+        """The manifest's entry of a file, or None."""
+        return next((r for r in self.state["runs"] if r["id"] == id), None)
+
+    def pull(self, id: int | None = None) -> Iterator[Row]:
+        """Rows ``key, value, seq, op`` one by one in key order: of the file ``id``, removals too, or the live ones of the whole store.
+
+        Parts are fetched as they are needed; the driver holds one at a time.
+        """
+        if id is not None:
+            entry = self.file(id)
+            if entry is None:
+                raise KeyError(f"this version has no file {id}")
+            return self._read([entry["path"]]).orderBy("key").toLocalIterator()
+        return lww.lww(self.rows()).where(lww.LIVE).orderBy("key").toLocalIterator()
+
     def listing(self) -> DataFrame:
         """Every stored row with its source, the log first, then runs from the newest; unmerged."""
         parts = [("memtable", self.memtable())] + [(f"run_{r['id']}", self._read([r["path"]])) for r in sorted(self.state["runs"], key=lambda r: -r["id"])]
@@ -112,6 +142,7 @@ class Store:
         rows = rows.withColumn("checksum", wal_checksum(F.col("seq"), F.col("op"), F.col("key"), F.col("value"))).observe(seen, F.max("seq").alias("top"))
         rows.write.parquet(f"{self.path}/{name}")
         top = seen.get["top"]
+        self._stops[name] = None
         self._publish(segments=[*self.state["segments"], name], next_seq=max(self.state["next_seq"], (top or 0) + 1), batches=self._batches(batch))
 
     def load(self, ops: DataFrame, order: str = "seq", batch: tuple[str, int] | None = None) -> None:
@@ -149,12 +180,23 @@ class Store:
         n, seen = self.state["next_id"], Observation()
         name = f"runs/run_{n:08d}_{uuid.uuid4().hex[:8]}"
         facts = runs.facts()
-        rows.sortWithinPartitions("key").observe(seen, facts[0], *facts[1:]).write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", "0.01").parquet(f"{self.path}/{name}")
+        self._sink(rows.sortWithinPartitions("key").observe(seen, facts[0], *facts[1:]), name)
         meta = seen.get
         if not meta["n_rows"]:
             return []
         return [{"id": n, "level": level, "path": name} | {c: meta[c] for c in ("min_key", "max_key", "max_seq", "size_bytes", "n_rows")}]
 
+    def _write_files(self, rows: DataFrame, level: int) -> list[dict]:
+        """Write sorted, range-partitioned rows; every file is an entry of its own, with its own key range."""
+        name = f"runs/run_{self.state['next_id']:08d}_{uuid.uuid4().hex[:8]}"
+        self._sink(rows, name)
+        files = self._read([name]).groupBy(F.col("_metadata.file_name").alias("file")).agg(*runs.facts()).collect()  # one row a file
+        files = sorted((r.asDict() for r in files), key=lambda r: r["min_key"].encode())
+        return [{"id": self.state["next_id"] + i, "level": level, "path": f"{name}/{r.pop('file')}"} | r for i, r in enumerate(files)]
+
+    def _sink(self, rows: DataFrame, name: str) -> None:
+        rows.write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", "0.01").parquet(f"{self.path}/{name}")
+
     def memtable_bytes(self) -> int:
         return runs.memtable_size(self.memtable()).first()["size_bytes"]
 
@@ -171,41 +213,79 @@ class Store:
     # Compaction
 
     def due_levels(self) -> list[int]:
-        if not self.state["runs"]:
-            return []
-        return sorted(r.level for r in runs.compaction_due(self.manifest()).where("due").collect())  # one row per level
+        """Levels over their limit: level 0 by its runs, others by their bytes (see ``runs.compaction_due``)."""
+        level = lambda n: [r for r in self.state["runs"] if r["level"] == n]
+        due = [n for n, limit in runs.LEVEL_BYTES.items() if sum(r["size_bytes"] or 0 for r in level(n)) > limit]
+        return [0, *due] if len(level(0)) >= runs.L0_FILES else due
+
+    @property
+    def paused(self) -> bool:
+        return self.state.get("paused", False)
 
     def pause(self) -> None:
-        self.paused = True
+        """Stop ``compact_due`` for every reader of the manifest, until ``resume``."""
+        self._publish(paused=True)
 
     def resume(self) -> None:
-        self.paused = False
+        self._publish(paused=False)
+
+    def wait_for_compaction(self, seconds: float = 5.0) -> bool:
+        """Wait until the newest version has no level due; whether it came to that in time."""
+        until = time.monotonic() + seconds
+        while Store(self.spark, self.path).due_levels():
+            if time.monotonic() >= until:
+                return False
+            time.sleep(0.1)
+        return True
+
+    def _inputs(self, level: int, files: int) -> list[dict]:
+        """All runs of level 0, or the first ``files`` of a deeper level, and what they meet in the next level."""
+        own = sorted((r for r in self.state["runs"] if r["level"] == level), key=lambda r: (r["min_key"].encode(), r["id"]))
+        own = own if level == 0 else own[:files]
+        if not own:
+            return []
+        low, high = min(r["min_key"].encode() for r in own), max(r["max_key"].encode() for r in own)
+        return own + [r for r in self.state["runs"] if r["level"] == level + 1 and not (r["max_key"].encode() < low or r["min_key"].encode() > high)]
 
-    def compact(self, level: int) -> None:
-        """Merge level 0, or the first file of a deeper level, with what it meets in the next level.
+    def compact(self, level: int, files: int = 1) -> None:
+        """Merge level 0, or the first ``files`` files of a deeper level, with what they meet in the next level.
 
-        Removals are dropped only if no level below holds a file that meets the
-        merged range. A merge that leaves nothing still drops its inputs.
+        The result is cut into files of some ``FILE_BYTES`` with key ranges that
+        don't meet, so a later merge rewrites only the files it meets. Removals
+        are dropped only if no level below holds a file that meets the merged
+        range. A merge that leaves nothing still drops its inputs.
         """
-        chosen = {r.id for r in runs.compaction_inputs(self.manifest().withColumn("one", F.lit(1)), ["one"]).where(F.col("source_level") == level).collect()}
-        inputs = [r for r in self.state["runs"] if r["id"] in chosen]
-        if not inputs or level >= LAST_LEVEL:
+        inputs = self._inputs(level, files) if level < LAST_LEVEL else []
+        if not inputs:
             return
-        low, high = min(r["min_key"] for r in inputs), max(r["max_key"] for r in inputs)
+        chosen = {r["id"] for r in inputs}
+        low, high = (f(r[c].encode() for r in inputs).decode() for f, c in ((min, "min_key"), (max, "max_key")))
         bottom = not any(r["level"] > level + 1 for r in self.files_for(low, high) if r["id"] not in chosen)
-        # Level 0 may hold older rows of these keys in files that were not chosen only if the source is deeper.
+        size = sum(r["size_bytes"] or 0 for r in inputs)
+        n = max(1, -(-size // FILE_BYTES), min(self.spark.sparkContext.defaultParallelism, size // LEAST_BYTES))
         # A key has one row per input, so it needs no reduction before the shuffle: one range shuffle serves merge and order.
-        rows = self._read([r["path"] for r in inputs]).repartitionByRange("key")
-        run = self._write_run(runs.compacted(rows, bottom), level + 1)
+        rows = self._read([r["path"] for r in inputs]).repartitionByRange(n, "key")
+        made = self._write_files(runs.compacted(rows, bottom).sortWithinPartitions("key"), level + 1)
         kept = [r for r in self.state["runs"] if r["id"] not in chosen]
-        kept = sorted([*kept, *run], key=lambda r: (r["level"], r["min_key"] if r["level"] else "", r["id"]))
-        self._publish(runs=kept, next_id=self.state["next_id"] + 1)
+        kept = sorted([*kept, *made], key=lambda r: (r["level"], r["min_key"].encode() if r["level"] else b"", r["id"]))
+        self._publish(runs=kept, next_id=self.state["next_id"] + max(1, len(made)))
 
     def compact_due(self) -> int:
-        """Compact until no level is due; returns the number of compactions. Does nothing while paused."""
+        """Compact until no level is due; returns the number of compactions. Does nothing while paused.
+
+        Of a deeper level, as many files go at once as bring it below its limit.
+        """
         n = 0
-        while not self.paused and (due := [x for x in self.due_levels() if x < LAST_LEVEL]):
-            self.compact(due[0])
+        while not self.paused and (due := self.due_levels()):
+            level, files = due[0], 1
+            if level:
+                own = sorted((r for r in self.state["runs"] if r["level"] == level), key=lambda r: (r["min_key"].encode(), r["id"]))
+                over = sum(r["size_bytes"] or 0 for r in own) - runs.LEVEL_BYTES[level]
+                while over > 0 and files <= len(own):
+                    over -= own[files - 1]["size_bytes"] or 0
+                    files += 1
+                files -= 1
+            self.compact(level, files)
             n += 1
         return n
 
@@ -220,13 +300,22 @@ class Store:
         """An empty version; sequence numbers and ids go on."""
         self._publish(runs=[], segments=[])
 
-    def vacuum(self, keep: int = 2) -> list[str]:
-        """Delete files that none of the last ``keep`` versions names; returns their names."""
+    def vacuum(self, keep: int = 2, unfinished: bool = False) -> list[str]:
+        """Delete files that none of the last ``keep`` versions names, and the versions before; returns the files' names.
+
+        ``unfinished`` also deletes files that no version ever named, as failed
+        writes leave them; only while nobody is writing.
+        """
         versions = [self.log.read(n) for n in self.log.numbers()]
         named = lambda v: {r["path"] for r in v["runs"]} | set(v["segments"])
-        live = set().union(*map(named, versions[-keep:])) if versions else set()
-        gone = sorted(set().union(*map(named, versions)) - live) if versions else []
-        gone = [n for n in gone if self.log.exists(f"{self.path}/{n}")]
+        live, known = (set().union(*map(named, vs)) for vs in (versions[-keep:], versions))
+        if unfinished:
+            live_folders = {n.rpartition("/")[0] if n.endswith(".parquet") else n for n in live}
+            for where in ("runs", "log"):
+                if self.log.exists(f"{self.path}/{where}"):
+                    known |= {f"{where}/{f}" for f in self.log.folders(f"{self.path}/{where}")} - live_folders
+        gone = [n for n in sorted(known - live) if self.log.exists(f"{self.path}/{n}")]
         for n in gone:
             self.log.delete(f"{self.path}/{n}")
+        self.log.trim(keep)
         return gone
