@@ -37,9 +37,9 @@ MISSES = [
 ]
 
 
-@pytest.mark.parametrize("limit", [leak.BROADCAST_WINDOWS, 0])
+@pytest.mark.parametrize("limit", [leak.ROUND_HASHES, 4])
 def test_what_leaks(spark, rows, monkeypatch, limit):
-    monkeypatch.setattr(leak, "BROADCAST_WINDOWS", limit)  # 0: windows are joined
+    monkeypatch.setattr(leak, "ROUND_HASHES", limit)  # 4: several rounds
     found = leak.leaks(docs(spark, HITS + MISSES), items(spark, ITEM, "too short to leak", None, ITEM + " noch mehr"))
     assert rows(found) == sorted([(i, d) for d in range(len(HITS)) for i in (1, 4)], key=repr)
     assert rows(leak.leaks(docs(spark, []), items(spark, ITEM))) == []
@@ -79,13 +79,14 @@ def test_spans_are_cut(spark, rows):
     assert rows(leak.cleaned(docs(spark, [twice]), items(spark, ITEM))) == [(0, " und " + " ".join(WORDS[13:13]), 2)]
 
 
-def test_spans_are_cut_alike_by_join(spark, rows, monkeypatch):
+def test_spans_are_cut_alike_in_rounds(spark, rows, monkeypatch):
     r = random.Random(9)
     texts = [*HITS, *MISSES, "vor " + ITEM + " mitten " + ITEM + " nach", ITEM, ITEM] + [" ".join(r.choices(WORDS[:2], k=3) + WORDS[r.randrange(5) :] + WORDS) for _ in range(20)]
     df = docs(spark, texts).unionByName(spark.createDataFrame([(0, "anders " + ITEM, "x", "y"), (None, ITEM, "x", "y")], DOCS))
     its = items(spark, ITEM, "too short to leak", None, ITEM + " noch mehr", " ".join(WORDS[2:]))
     sent = rows(leak.cleaned(df, its))
-    monkeypatch.setattr(leak, "BROADCAST_WINDOWS", 0)  # windows are joined
+    monkeypatch.setattr(leak, "ROUND_HASHES", 3)
+    monkeypatch.setattr(leak, "CHUNK_WORDS", 20)
     joined = leak.cleaned(df, its)
     assert rows(joined) == sent and joined.columns == ["doc_id", "text", "n_removed"] and sum(n for *_, n in sent) > 30
     assert rows(leak.cleaned(df, its.where("text IS NULL"))) == rows(df.selectExpr("doc_id", "text", "0"))

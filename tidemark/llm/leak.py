@@ -1,29 +1,36 @@
 """Held-out passages inside a training corpus.
 
-Items are cut into windows of ``WORDS`` words; the set of all windows is sent to
+Items are cut into windows of ``WORDS`` words; the set of their hashes is sent to
 every task, and each document's windows are looked up in it. Words are compared
 as a reader sees them. The lookup uses a coarse form of a word in which every
 letter that may stand for another, by shape or by case, is one; each hit is then
-verified letter by letter.
+verified letter by letter. A word is a run of letters and digits, so languages
+written without spaces have a sentence for a word: nothing of fewer than
+``WORDS`` sentences is found there.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.lookalike import SAME_SHAPE, Transducer
+from tidemark.scratch import cut
 
 WORDS = 8
-#: Windows that may be sent to every task: some 500 bytes each in Python, so 100 MB. Beyond, windows are joined.
-BROADCAST_WINDOWS = 200_000
+#: Hashes of item windows that are sent to every task at a time, 64 MB.
+ROUND_HASHES = 1 << 23
+#: Words of texts that are looked up at a time.
+CHUNK_WORDS = 1 << 18
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _cases(c: str) -> set[str]:
@@ -60,6 +67,7 @@ class Words:
         self.coarse = lru_cache(1 << 17)(self._coarse_of)
         self.fine = lru_cache(1 << 14)(self._fine_of)
         self.same = lru_cache(1 << 16)(self._same)
+        self.code = lru_cache(1 << 17)(lambda w: xxhash.xxh3_64_intdigest(self._coarse_of(w)))
 
     @classmethod
     def shared(cls) -> Words:
@@ -94,99 +102,112 @@ class Words:
         return len(a) == len(b) and all(x == y or y in self._seen_as(x) or x in self._seen_as(y) for x, y in zip(a, b))
 
 
-class Windows:
-    """All windows of the items: coarse words to the places they come from."""
-
-    def __init__(self, items: list[tuple[int, str]], n: int = WORDS) -> None:
-        self.n, self.items = n, list(dict.fromkeys(items))
-        self._ready = False
-
-    def prepare(self) -> Windows:
-        """Build the tables; done in each Python process, as only texts are sent."""
-        if self._ready:
-            return self
-        words = Words.shared()
-        self.words = [words.split(t) for _, t in self.items]
-        self.ids: dict[str, int] = {}
-        self.at: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
-        for i, ws in enumerate(self.words):
-            ids = [self.ids.setdefault(words.coarse(w), len(self.ids)) for w in ws]
-            for k in range(len(ids) - self.n + 1):
-                self.at[tuple(ids[k : k + self.n])].append((i, k))
-        self._ready = True
-        return self
-
-    def __getstate__(self) -> dict:
-        return {"n": self.n, "items": self.items, "_ready": False}
-
-    def hits(self, ws: list[str]) -> Iterator[tuple[int, int]]:
-        """``(item, k)`` for each item whose window reads as the words ``ws[k : k + n]``."""
-        words, n, get = Words.shared(), self.n, self.ids.get
-        coarse = words.coarse
-        ids = [get(coarse(w), -1) for w in ws]
-        run = 0
-        for k, x in enumerate(ids):
-            run = run + 1 if x >= 0 else 0
-            if run >= n and (found := self.at.get(tuple(ids[k - n + 1 : k + 1]))):
-                for item, j in found:
-                    if all(map(words.same, ws[k - n + 1 : k + 1], self.words[item][j : j + n])):
-                        yield self.items[item][0], k - n + 1
-
-
-def _windows(items: DataFrame, n: int) -> Windows | None:
-    """The set to send to every task, or None if it may be too large. NULL texts have no words."""
-    rows = items.where("text IS NOT NULL").select("item_id", "text")
-    # A word and the gap after it take two characters at least, so this bounds the windows.
-    bound = rows.agg(F.sum(F.floor((F.length("text") + 1) / 2))).first()[0] or 0
-    return Windows([(r.item_id, r.text) for r in rows.toLocalIterator()], n) if bound <= BROADCAST_WINDOWS else None
-
-
-def leaks(documents: DataFrame, items: DataFrame, n: int = WORDS) -> DataFrame:
-    """``item_id, doc_id``: the document holds ``n`` consecutive words of the item, once each.
-
-    NULL and empty texts hold nothing; items of fewer than ``n`` words can't
-    leak. Whole texts are read. Other columns are ignored.
-    """
-    windows = _windows(items, n)
-    if windows is None:
-        return _joined_leaks(documents, items, n)
-    sent = documents.sparkSession.sparkContext.broadcast(windows)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, words = sent.value.prepare(), Words.shared()
+def window_hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each ``n`` consecutive codes; their polynomial modulo 2^64."""
+    if len(codes) < n:
+        return np.empty(0, np.uint64)
+    out = np.zeros(len(codes) - n + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            out = out * FACTOR + codes[j : len(codes) - n + 1 + j]
+    return out
+
+
+class HashSet:
+    """Sorted hashes behind a bit for each value of their lowest bits, which answers for most of what isn't there."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.sorted = np.sort(hashes)
+        bits = max(16, min(26, int(len(hashes)).bit_length() + 4))
+        self.mask = np.uint64((1 << bits) - 1)
+        self.some = np.zeros(1 << bits, bool)
+        self.some[self.sorted & self.mask] = True
+
+    def held(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of ``hashes`` that are in the set."""
+        at = np.flatnonzero(self.some[hashes & self.mask])
+        if len(at):
+            near = np.minimum(np.searchsorted(self.sorted, hashes[at]), len(self.sorted) - 1)
+            at = at[self.sorted[near] == hashes[at]]
+        return at
+
+
+def _scan(n: int, held: HashSet | None):
+    """A function from batches ``id, text`` to the windows ``id, place, hash, raw`` of the texts, or those that ``held`` holds."""
+
+    def chunk(ids: list, split: list[list[str]], kind: pa.DataType) -> pa.RecordBatch:
+        code = Words.shared().code
+        sizes = np.array([len(ws) for ws in split])
+        flat = [w for ws in split for w in ws]
+        hashes = window_hashes(np.fromiter(map(code, flat), np.uint64, len(flat)), n)
+        ends = sizes.cumsum()
+        at = np.arange(len(hashes)) if held is None else held.held(hashes)
+        text = np.searchsorted(ends, at, "right")
+        inside = at + n <= ends[text] if len(at) else np.empty(0, bool)
+        at, text = at[inside], text[inside]
+        raw = [" ".join(flat[k : k + n]) for k in at.tolist()]
+        place = at - (ends[text] - sizes[text])
+        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in text.tolist()], kind), pa.array(place, pa.int32()), pa.array(hashes[at].view(np.int64)), pa.array(raw, pa.string())], names=["id", "place", "hash", "raw"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = Words.shared().split
         for b in batches:
-            out = [(i, d) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) if t for i in {i for i, _ in held.hits(words.split(t))}]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64())], names=["item_id", "doc_id"])
+            ids, texts, size = [], [], 0
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids.append(i)
+                texts.append(split(t))
+                size += len(texts[-1])
+                if size >= CHUNK_WORDS:
+                    yield chunk(ids, texts, b.column(0).type)
+                    ids, texts, size = [], [], 0
+            if size:
+                yield chunk(ids, texts, b.column(0).type)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").mapInArrow(scan, "item_id long, doc_id long").distinct()
+    return run
 
 
-def _joined_leaks(documents: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """The same by a join on windows, for item sets that are too large to send."""
-    d = _grams(documents.select(F.col("doc_id").cast("long").alias("id"), "text"), n).select(F.col("id").alias("doc_id"), "coarse", "raw")
-    i = _grams(items.select(F.col("item_id").cast("long").alias("id"), "text"), n).select(F.col("id").alias("item_id"), "coarse", F.col("raw").alias("other"))
-    return _verified(d.join(i, "coarse"), "item_id long, doc_id long").distinct()
+def _windows(texts: DataFrame, n: int, held: HashSet | None = None) -> DataFrame:
+    """``id, place, hash, raw`` of the windows of ``texts`` (``id, text``), those of ``held`` only if it is given."""
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.where("text IS NOT NULL").mapInArrow(_scan(n, held), f"id {kind}, place int, hash long, raw string")
 
 
-def _grams(texts: DataFrame, n: int, places: bool = False) -> DataFrame:
-    """``id, place, coarse, raw`` of the windows of ``texts`` (``id, text``), each once.
+def _hits(texts: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """``id, place, item_id`` of the windows of ``texts`` (``id, text``) that read as a window of an item.
 
-    ``place`` is the window's first word; without ``places`` it is 0, so that
-    the repeats of a window in a text fall together.
+    The hashes of all item windows go to every task, 8 bytes each and at most
+    ``ROUND_HASHES`` at a time; item sets of any size take as many rounds over
+    the texts. Only windows whose hash is held leave the scan; they are joined
+    with the items' windows and compared letter by letter.
     """
+    spark = texts.sparkSession
+    rows = items.select(F.col("item_id").cast("long").alias("id"), "text")
+    wanted = cut(_windows(rows, n).select(F.col("id").alias("item_id"), "hash", F.col("raw").alias("other")).distinct())
+    hashes = wanted.select("hash").distinct()
+    rounds = max(1, -(-hashes.count() // ROUND_HASHES))
+    found = None
+    for r in range(rounds):
+        mine = hashes if rounds == 1 else hashes.where(F.pmod(F.shiftrightunsigned("hash", 32), F.lit(rounds)) == r)
+        part = mine.toArrow().column(0).combine_chunks().to_numpy(zero_copy_only=False).view(np.uint64)  # ROUND_HASHES or so
+        if len(part):
+            sent = spark.sparkContext.broadcast(HashSet(part))
+            scan = lambda batches, sent=sent: _scan(n, sent.value)(batches)
+            kind = texts.schema["id"].dataType.simpleString()
+            hits = texts.where("text IS NOT NULL").mapInArrow(scan, f"id {kind}, place int, hash long, raw string")
+            found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        return spark.createDataFrame([], f"id {texts.schema['id'].dataType.simpleString()}, place int, item_id long")
+    return _verified(found.join(wanted, "hash"), f"id {texts.schema['id'].dataType.simpleString()}, place int, item_id long")
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words.shared()
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ws = words.split(t)
-                rows = {(k if places else 0, " ".join(map(words.coarse, g)), " ".join(g)) for k, g in ((k, ws[k : k + n]) for k in range(len(ws) - n + 1))}
-                if rows:
-                    place, coarse, raw = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(rows), b.column(0).type), pa.array(place, pa.int32()), pa.array(coarse), pa.array(raw)], names=["id", "place", "coarse", "raw"])
 
-    kind = texts.schema["id"].dataType.simpleString()
-    return texts.where("text IS NOT NULL").mapInArrow(grams, f"id {kind}, place int, coarse string, raw string")
+def leaks(documents: DataFrame, items: DataFrame, n: int = WORDS) -> DataFrame:
+    """``item_id, doc_id``: the document holds ``n`` consecutive words of the item, once each.
+
+    NULL and empty texts hold nothing; items of fewer than ``n`` words can't
+    leak. Whole texts are read. Other columns are ignored.
+    """
+    hits = _hits(documents.select(F.col("doc_id").cast("long").alias("id"), "text"), items, n)
+    return hits.select("item_id", F.col("id").alias("doc_id")).distinct()
 
 
 def _verified(pairs: DataFrame, schema: str) -> DataFrame:
@@ -216,43 +237,22 @@ def _without(text: str, spans: list[tuple[int, int]], starts: list[int], n: int)
     return text, len(gone)
 
 
-def _cut_texts(b: pa.RecordBatch, starts: Iterator[list[int]], n: int) -> pa.RecordBatch:
-    """The result rows of a batch ``doc_id, text``, given the windows to cut from each text."""
-    words = Words.shared()
-    done = [_without(t, words.spans(t), ks, n) if ks else (t, 0) for t, ks in zip(b.column("text").to_pylist(), starts)]
-    return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([t for t, _ in done], pa.string()), pa.array([r for _, r in done], pa.int32())], names=["doc_id", "text", "n_removed"])
-
-
-def _joined_cleaned(documents: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """``cleaned`` by a join on windows. Where a text leaks depends on the text alone, so equal texts are looked up once."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.sha2("text", 256).alias("id"))
-    d = _grams(rows.where("text IS NOT NULL").groupBy("id").agg(F.max("text").alias("text")), n, places=True)
-    i = _grams(items.select(F.col("item_id").cast("long").alias("id"), "text"), n).select("coarse", F.col("raw").alias("other")).distinct()
-    hits = _verified(d.join(i, "coarse"), "id string, place int").groupBy("id").agg(F.sort_array(F.collect_set("place")).alias("places"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield _cut_texts(b, b.column("places").to_pylist(), n)
-
-    return rows.join(hits, "id", "left").select("doc_id", "text", "places").mapInArrow(cut, "doc_id long, text string, n_removed int")
-
-
 def cleaned(documents: DataFrame, items: DataFrame, n: int = WORDS) -> DataFrame:
     """``doc_id, text, n_removed``: the documents with every leaked span cut out.
 
     A span is a stretch of words in which every window is a leak, from the
     first word's beginning to the last word's end. Documents without a leak,
-    NULL texts too, come out as they are with ``n_removed`` 0. Items of any
-    number are cut: too many to send to every task are joined.
+    NULL texts too, come out as they are with ``n_removed`` 0. What leaks in a
+    text depends on the text alone, so the places found go back by the text's
+    hash; they are few, and equal texts have them once.
     """
-    windows = _windows(items, n)
-    if windows is None:
-        return _joined_cleaned(documents, items, n)
-    sent = documents.sparkSession.sparkContext.broadcast(windows)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.sha2("text", 256).alias("id"))
+    places = _hits(rows.select("id", "text"), items, n).groupBy("id").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, words = sent.value.prepare(), Words.shared()
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = Words.shared().spans
         for b in batches:
-            yield _cut_texts(b, [sorted({k for _, k in held.hits(words.split(t))}) if t else [] for t in b.column("text").to_pylist()], n)
+            done = [_without(t, spans(t), at, n) if at else (t, 0) for t, at in zip(b.column("text").to_pylist(), b.column("places").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([t for t, _ in done], pa.string()), pa.array([r for _, r in done], pa.int32())], names=["doc_id", "text", "n_removed"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, text string, n_removed int")
+    return rows.join(places, "id", "left").select("doc_id", "text", "places").mapInArrow(cut_out, "doc_id long, text string, n_removed int")
