@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,16 +16,18 @@ from tidemark.operators.lww import latest
 L0_FILES = 4
 LEVEL_BYTES = {1: 10 << 20, 2: 100 << 20}
 INDEX_EVERY = 16
+FILE_FACTS = pa.schema([("file", pa.string()), ("min_key", pa.string()), ("max_key", pa.string()), ("max_seq", pa.int64()), ("size_bytes", pa.int64()), ("n_rows", pa.int64())])
 
 
-def _size() -> Column:
+def record_size() -> Column:
+    """Bytes of a row's record."""
     return record_bytes(F.col("key"), F.col("value"), F.col("op") == "PUT")
 
 
 def memtable_size(oplog: DataFrame) -> DataFrame:
     """One row ``size_bytes, n_keys`` of the log reduced to one entry per key; 0, 0 when empty."""
     kept = latest(oplog, ["key"], ["seq", "op", "value"], ["value"])
-    return kept.agg(F.coalesce(F.sum(_size()), F.lit(0)).cast("long").alias("size_bytes"), F.count("*").alias("n_keys"))
+    return kept.agg(F.coalesce(F.sum(record_size()), F.lit(0)).cast("long").alias("size_bytes"), F.count("*").alias("n_keys"))
 
 
 def flush(oplog: DataFrame, run: str = "flush_id") -> DataFrame:
@@ -31,7 +37,7 @@ def flush(oplog: DataFrame, run: str = "flush_id") -> DataFrame:
 
 def facts() -> list[Column]:
     """Aggregates that describe a run: ``min_key, max_key, max_seq, size_bytes, n_rows``."""
-    return [F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.max("seq").alias("max_seq"), F.sum(_size()).cast("long").alias("size_bytes"), F.count("*").alias("n_rows")]
+    return [F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.max("seq").alias("max_seq"), F.sum(record_size()).cast("long").alias("size_bytes"), F.count("*").alias("n_rows")]
 
 
 def run_meta(runs: DataFrame, run: str = "flush_id") -> DataFrame:
@@ -42,10 +48,10 @@ def run_meta(runs: DataFrame, run: str = "flush_id") -> DataFrame:
 def sparse_index(runs: DataFrame, run: str = "flush_id") -> DataFrame:
     """``run, key, byte_offset`` of every 16th row of each run, in key order, from the first.
 
-    Runs are files of bounded size, so each is numbered in one task.
+    Runs are files of bounded size (a compaction cuts its result into such), so each is numbered in one task.
     """
     order = Window.partitionBy(run).orderBy("key")
-    offset = F.coalesce(F.sum(_size()).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    offset = F.coalesce(F.sum(record_size()).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
     return runs.select(run, "key", offset.alias("byte_offset"), (F.row_number().over(order) - 1).alias("i")).where(F.col("i") % INDEX_EVERY == 0).drop("i")
 
 
@@ -87,6 +93,38 @@ def compacted(runs: DataFrame, bottom: bool) -> DataFrame:
     return merged.where("op = 'PUT'") if bottom else merged
 
 
+def merged(runs: DataFrame, bottom: bool) -> DataFrame:
+    """``compacted`` for runs that are range-partitioned by key: the last operation of each key where it lies, in key order.
+
+    Every input has a key once at most, so there is nothing to reduce before
+    the shuffle; and rows sorted by key and seq need no aggregation behind it.
+    """
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq"), F.desc("op"), F.desc("value")))
+    last = runs.select("key", "value", "seq", "op", place.alias("n")).where("n = 1").drop("n")
+    return last.where("op = 'PUT'") if bottom else last
+
+
+def _file_facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Facts of each stretch of rows of one file; keys come in order, so the ends are the first and the last."""
+    for b in batches:
+        for file in pc.unique(b.column("file")):
+            t = b.filter(pc.equal(b.column("file"), file))
+            key = t.column("key")
+            row = [file.as_py(), key[0].as_py(), key[-1].as_py(), pc.max(t.column("seq")).as_py(), pc.sum(t.column("size")).as_py(), len(t)]
+            yield pa.RecordBatch.from_pylist([dict(zip(FILE_FACTS.names, row))], schema=FILE_FACTS)
+
+
+def file_facts(rows: DataFrame) -> list[dict]:
+    """``file, min_key, max_key, max_seq, size_bytes, n_rows`` of each file of written, sorted runs, in key order.
+
+    The driver gets one row for each file.
+    """
+    sized = rows.select(F.col("_metadata.file_name").alias("file"), "key", "seq", record_size().cast("long").alias("size"))
+    parts = sized.mapInArrow(_file_facts, "file string, min_key string, max_key string, max_seq long, size_bytes long, n_rows long")
+    whole = parts.groupBy("file").agg(F.min("min_key").alias("min_key"), F.max("max_key").alias("max_key"), *(f(c).alias(c) for f, c in ((F.max, "max_seq"), (F.sum, "size_bytes"), (F.sum, "n_rows"))))
+    return sorted((r.asDict() for r in whole.collect()), key=lambda f: f["min_key"].encode())
+
+
 def without(manifest: DataFrame, removed: DataFrame) -> DataFrame:
     """The manifest without the ids in ``removed``."""
     return manifest.join(removed.select("id").distinct(), "id", "left_anti")

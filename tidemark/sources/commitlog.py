@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
@@ -75,6 +76,32 @@ class CommitLog:
         at = self._jvm.org.apache.hadoop.fs.Path(path)
         return sorted(s.getPath().getName() for s in at.getFileSystem(self._conf).listStatus(at) if s.isDirectory())
 
+    def footers(self, path: str) -> dict[str, dict | None]:
+        """Of each Parquet file in ``path``: ``min_key, max_key, max_seq, n_rows, bytes`` as its footer tells it.
+
+        None for a file without rows. The driver reads footers only. Keys too
+        long for a footer leave ``min_key`` out.
+        """
+        reader, at = self._jvm.org.apache.parquet.hadoop.ParquetFileReader, self._jvm.org.apache.hadoop.fs.Path(path)
+
+        def read(status) -> tuple[str, dict | None]:
+            facts, keys = {"n_rows": 0, "bytes": status.getLen(), "max_seq": None}, []
+            for block in reader.readFooter(self._conf, status.getPath()).getBlocks():
+                facts["n_rows"] += block.getRowCount()
+                stats = {c.getPath().toDotString(): c.getStatistics() for c in block.getColumns()}
+                if not (stats["key"].hasNonNullValue() and stats["seq"].hasNonNullValue()):
+                    keys.append(None)
+                    continue
+                keys += [stats["key"].genericGetMin().toStringUsingUTF8(), stats["key"].genericGetMax().toStringUsingUTF8()]
+                facts["max_seq"] = max(facts["max_seq"] or stats["seq"].genericGetMax(), stats["seq"].genericGetMax())
+            if keys and None not in keys:
+                facts |= {"min_key": min(keys, key=str.encode), "max_key": max(keys, key=str.encode)}
+            return status.getPath().getName(), facts if facts["n_rows"] else None
+
+        files = [s for s in at.getFileSystem(self._conf).listStatus(at) if s.getPath().getName().endswith(".parquet")]
+        with ThreadPoolExecutor(16) as pool:
+            return dict(pool.map(read, files))
+
     def trim(self, keep: int) -> None:
         """Forget all but the last ``keep`` commits; what only they name must be deleted before."""
         for n in self.numbers()[: -max(1, keep)]:
