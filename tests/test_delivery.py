@@ -49,6 +49,36 @@ def test_hot_identifier(spark, rows):
     assert delivery.accepted_entries(df).count() == 4
 
 
+def test_whole_entries(spark, rows, messages):
+    whole = [m for m in messages if m[0] is not None]
+    got = delivery.delivered_once(spark.createDataFrame(whole, SCHEMA))
+    assert rows(got, "store_id", "term", "index", "delivery_id", "pos") == rows(delivery.accepted_entries(spark.createDataFrame(whole, SCHEMA), unnamed=True))
+    assert got.select("op", "key").distinct().count() == 1
+
+
+def test_memory_begins_anew(monkeypatch):
+    """The passes give the same when they may keep few producers and odd identifiers."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    n = 4000
+    store, lo = np.sort(r.integers(0, 300, n)).astype(np.int32), r.integers(0, 20, n)
+    order = np.lexsort((lo, store))
+    kind = np.where(store % 50 == 49, delivery.ODD, delivery.ENTRY).astype(np.int8)
+    order = order[np.argsort(kind[order], kind="stable")]
+    columns = [kind, store, np.ones(n, np.int64), np.where(kind == delivery.ODD, lo, 0), lo, lo, np.arange(n), np.zeros(n, np.int32)]
+    batches = pa.Table.from_arrays([pa.array(c[order]) for c in columns], schema=delivery.FLOW_ARROW).to_batches(max_chunksize=97)
+    monkeypatch.setattr(delivery, "CHUNK", 97)
+    second = delivery._second_pass(frozenset(("accepted", "surplus", "range")))
+    both = lambda: pa.Table.from_batches(list(second(iter(batches)))).to_pylist()
+    want = both()
+    monkeypatch.setattr(delivery, "MAX_PRODUCERS", 3)
+    monkeypatch.setattr(delivery, "MAX_ODD", 3)
+    assert sorted(map(repr, both())) == sorted(map(repr, want)) and sum(x["outcome"] == "accepted" for x in want) == len(set(zip(store.tolist(), lo.tolist())))
+    known = pa.Table.from_batches(list(delivery._first_pass(iter(batches))))
+    assert len(known) == n and known.column("kind").to_pylist().count(delivery.KNOWN) <= n - len(set(zip(store.tolist(), lo.tolist())))
+
+
 def test_ranges_carry_over(spark, rows, messages):
     messages = [m for m in messages if m[1] is not None]
     early, late = [m for m in messages if m[0] < 200], [m for m in messages if m[0] >= 200]

@@ -27,6 +27,8 @@ BLOCK_BITS = 16
 NUMBER_BITS = 40
 TOP = (1 << NUMBER_BITS) - 2  # one number is never used, so that two producers' ranges never touch
 CHUNK = 1 << 16
+#: Producers and odd identifiers that a pass keeps in memory before it begins anew. With a chunk's more, codes stay below 2^23.
+MAX_PRODUCERS, MAX_ODD = 1 << 20, 1 << 20
 
 RANGE, ENTRY, KNOWN, ODD = 0, 1, 2, 3  # what a row between the passes is
 FLOW = "kind tinyint, store_id int, term long, block long, lo long, hi long, delivery_id long, pos int"
@@ -101,8 +103,6 @@ class Producers:
                 self.codes[name] = len(self.names)
                 self.names.append(name)
             codes[i] = self.codes[name]
-        if len(self.names) >= 1 << (63 - NUMBER_BITS):
-            raise ValueError("too many producers in one partition; use more partitions")
         return codes[back.ravel()]
 
 
@@ -137,6 +137,11 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in arrival order: entries that this partition has seen become KNOWN."""
     book, producers, odd = RangeBook(), Producers(), set()
     for t in _chunks(batches):
+        # What this pass forgets the second one finds out, so its memory may end.
+        if len(producers.names) >= MAX_PRODUCERS:
+            book, producers = RangeBook(), Producers()
+        if len(odd) >= MAX_ODD:
+            odd.clear()
         kind = t.column("kind").to_numpy().copy()
         rows = np.flatnonzero(kind == ENTRY)
         keys = (producers.code(_numbers(t, "store_id")[rows], _numbers(t, "term")[rows]) << NUMBER_BITS) + _numbers(t, "lo")[rows]
@@ -178,6 +183,11 @@ def _second_pass(wanted: frozenset[str]):
                 done = book.take_below(int(lo[-1] >> BLOCK_BITS << BLOCK_BITS))
                 if "range" in wanted and len(done[0]):
                     yield ranges(*done)
+                if len(producers.names) >= MAX_PRODUCERS:
+                    # Codes begin anew; of the old ones only the last producer can go on.
+                    last, fresh = producers.names[int(lo[-1] >> NUMBER_BITS)], Producers()
+                    fresh.code(np.array([last[0]]), np.array([last[1]]))
+                    book.lo, book.hi, producers = book.lo & mask, book.hi & mask, fresh
             odd.clear()
             if kind[-1] == ODD:  # odd identifiers come sorted by their hash; only the last hash can go on
                 at = rows[_numbers(t, "block")[rows] == _numbers(t, "block")[-1]]
@@ -248,6 +258,17 @@ def accepted_entries(messages: DataFrame, seen: DataFrame | None = None, unnamed
     return outcomes(messages, seen, ("accepted",), unnamed).select("store_id", "term", F.col("lo").alias("index"), "delivery_id", "pos")
 
 
+def delivered_once(messages: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """The entries themselves: ``store_id, delivery_id, pos`` and all fields of each kept copy.
+
+    The places to keep go back to their messages by ``delivery_id``, which must
+    be unique and not NULL here.
+    """
+    kept = accepted_entries(messages, seen, unnamed=True).groupBy("delivery_id").agg(F.collect_list("pos").alias("_kept"))
+    rows = messages.join(kept, "delivery_id").select("store_id", "delivery_id", F.explode("_kept").alias("pos"), "entries")
+    return rows.select("store_id", "delivery_id", "pos", F.get("entries", "pos").alias("e")).select("store_id", "delivery_id", "pos", "e.*")
+
+
 def seen_ranges(messages: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """The disjoint ranges of all numbers seen, to be stored for the next run."""
     return merge_ranges(outcomes(messages, seen, ("range",)))

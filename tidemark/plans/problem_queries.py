@@ -19,6 +19,10 @@ def p1_accepted(spark: SparkSession, folder: str) -> DataFrame:
     return delivery.accepted_entries(table(spark, folder, "repl_msgs"), unnamed=True)
 
 
+def p1_entries(spark: SparkSession, folder: str) -> DataFrame:
+    return delivery.delivered_once(table(spark, folder, "repl_msgs"))
+
+
 def p1_ranges(spark: SparkSession, folder: str) -> DataFrame:
     return delivery.seen_ranges(table(spark, folder, "repl_msgs"))
 
@@ -74,7 +78,7 @@ def p4_summary(spark: SparkSession, folder: str) -> DataFrame:
     return p4_found(spark, folder).groupBy("store_id", "field").agg(F.count("*").alias("n_cases"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_accepted, p1_ranges, p2_found, p2_increments, p2_watermarks, p3_found, p3_state, p3_increments, p4_found, p4_summary)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_accepted, p1_entries, p1_ranges, p2_found, p2_increments, p2_watermarks, p3_found, p3_state, p3_increments, p4_found, p4_summary)}
 
 _COPIES = """WITH e AS (SELECT delivery_id, store_id, unnest(generate_series(0, len(entries) - 1)) AS p, entries FROM repl_msgs WHERE len(entries) > 0),
 c AS (SELECT delivery_id, CAST(p AS INTEGER) AS pos, store_id, entries[p + 1].term AS term, entries[p + 1]."index" AS "index" FROM e),
@@ -97,6 +101,8 @@ _LIVE = """g AS (SELECT store_id, key, max("index") AS "index", max_by(put, "ind
 SQL = {
     "p1_found": _COPIES + "SELECT delivery_id, pos FROM r WHERE n > 1",
     "p1_accepted": _COPIES + 'SELECT store_id, term, "index", delivery_id, pos FROM r WHERE n = 1',
+    "p1_entries": _COPIES + """SELECT r.store_id, r.delivery_id, r.pos, r.term, r."index", m.entries[r.pos + 1].op AS op, m.entries[r.pos + 1].key AS key, m.entries[r.pos + 1].value AS value
+FROM r JOIN repl_msgs m ON m.delivery_id = r.delivery_id WHERE r.n = 1""",
     "p1_ranges": _COPIES
     + """, i AS (SELECT store_id, term, "index", "index" - row_number() OVER (PARTITION BY store_id, term ORDER BY "index") AS island FROM r WHERE n = 1)
 SELECT store_id, term, min("index") AS lo, max("index") AS hi FROM i GROUP BY store_id, term, island""",
