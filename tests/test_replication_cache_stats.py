@@ -1,7 +1,9 @@
 import random
 from collections import OrderedDict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import bloom, cache, replication, stats
 from tidemark.streaming import live
@@ -92,12 +94,45 @@ def test_percentiles(spark, rows):
     assert rows(stats.latency_summary(one.limit(0), "v")) == []
 
 
+def test_percentiles_of_skewed_values(spark, rows):
+    df = spark.range(20_000).selectExpr("if(id = 7, 1e12, id * 1e-3) v").repartition(3)
+    vs = sorted([1e12] + [i * 1e-3 for i in range(20_000) if i != 7])
+    assert dict(rows(stats.percentiles(df, "v"))) == {p: vs[int(20_000 * p)] for p in stats.PERCENTILES}
+
+
+def test_counting_by_merging():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 2, 63, 64, 65, 500, 3000):
+        v = r.integers(0, n // 2 + 1, n)
+        assert cache.smaller_before(v).tolist() == [int((v[:i] < v[i]).sum()) for i in range(n)]
+
+
+def test_cache_replay(spark, rows):
+    r, trace, held = random.Random(5), [], {1: OrderedDict(), None: OrderedDict()}
+    want = []
+    for i in range(600):
+        c, op, k = r.choice([1, None]), r.choice(["get", "PUT", "put", "invalidate", "what"]), r.choice([None, *"abcdef"])
+        trace.append((c, i, op, k))
+        h, out, said = held[c], None, {"get": ("miss", "hit"), "put": ("inserts", "updates"), "invalidate": ("absent", "removes"), "what": ("unknown",) * 2}[op.lower()][k in held[c]]
+        if op == "invalidate":
+            h.pop(k, None)
+        elif op.lower() == "put" or op == "get" and k in h:
+            h.pop(k, None)
+            h[k] = i
+            if len(h) > 3:
+                out = h.popitem(last=False)[0]
+        want.append((c, i, said, out))
+    df = spark.createDataFrame([*trace, (1, None, "get", "a")], "cache int, seq long, op string, key string").repartition(5)
+    assert rows(cache.replay(df, 3)) == sorted(want, key=repr)
+    assert rows(cache.replay(df.limit(0), 3)) == []
+
+
 def test_scaling(spark, rows):
     df = spark.createDataFrame([(1, 10.0), (4, 30.0)], "threads int, throughput double")
     assert rows(stats.scaling(df)) == [(1, 10.0, 1.0, 1.0), (4, 30.0, 3.0, 0.75)]
 
 
-def test_bloom(spark, rows):
+def test_bloom(spark, rows, monkeypatch):
     keys = spark.range(1000).selectExpr("concat('key', id) k")
     others = spark.range(10_000).selectExpr("concat('other', id) k").unionByName(spark.createDataFrame([(None,)], "k string"))
     r = bloom.measure(keys, others, "k").first()
@@ -106,8 +141,11 @@ def test_bloom(spark, rows):
     m, k = bloom.sized(10)
     none = bloom.build(keys.limit(0), "k", m, k)
     assert rows(bloom.probe(keys.limit(2), "k", none, m, k), "maybe") == [(False,), (False,)]
-    with pytest.raises(ValueError):
-        bloom.probe(keys, "k", none, 1 << 40, 3)
+    m, k = bloom.sized(1000)
+    filled, asked = bloom.build(keys, "k", m, k), keys.unionByName(others).withColumn("maybe2", F.lit(1))
+    sent = rows(bloom.probe(asked, "k", filled, m, k))
+    monkeypatch.setattr(bloom, "MAX_BITS", 1)  # too large to send: joined
+    assert rows(bloom.probe(asked, "k", filled, m, k)) == sent
 
 
 def test_streams(spark, rows, tmp_path):
@@ -131,6 +169,22 @@ def test_streams(spark, rows, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/r1").count() == spark.read.parquet(f"{tmp_path}/r2").count() == 4
 
 
+def test_replicas_that_fail(spark, rows, tmp_path):
+    batch = spark.range(3)
+    (tmp_path / "bad").write_text("no folder")
+    good, bad, acks = f"file://{tmp_path}/good", f"file://{tmp_path}/bad", f"file://{tmp_path}/acks"
+    live.to_replicas([bad, good], acks)(batch, 0)
+    live.to_replicas([], acks)
+    said = spark.read.schema("batch long, peer string, ack boolean").parquet(acks)
+    assert rows(said, "batch", "peer", "ack") == [(0, bad, False), (0, good, True)]
+    assert rows(replication.acknowledged(said.withColumn("s", F.lit(1)), ["s"])) == [(1, 2, 1, True)]
+    with pytest.raises(Exception, match="bad"):
+        live.to_replicas([bad])(batch, 1)
+    (tmp_path / "bad").unlink()
+    assert live.catch_up(spark, acks) == 1 and live.catch_up(spark, acks) == 0
+    assert rows(spark.read.parquet(f"{bad}/batch=0")) == rows(batch)
+
+
 def test_prefix_end_goes_by_gaps_alone(spark, rows, tmp_path):
     from tidemark.plans import registry
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What is trimmed, and the texts of replies.
@@ -21,25 +21,48 @@ def _head(c: Column) -> Column:
     return F.split_part(c, F.lit(" "), F.lit(1))
 
 
-def parse_command(line: Column) -> Column:
-    """A command line as ``struct<verb, key, value>``.
+# How a line is taken apart: what follows the verb, and of it the first word and the rest.
+REST = r"(?s)^[^ ]* [ \t\r\n]*(.+)$"
+PAIR = r"(?s)^[^ ]* [ \t\r\n]*([^ ]+) [ \t\r\n]*(.+)$"
+
+
+def _named(first: Column) -> Column:
+    return F.when(first.isin("PUT", "SET"), "PUT").when(first.isin("DELETE", "DEL"), "DELETE").when(first.isin("QUIT", "EXIT"), "QUIT").when(first.isin("GET", "PING", "STATUS"), first).otherwise("UNKNOWN")
+
+
+def with_command(lines: DataFrame, line: str) -> DataFrame:
+    """``lines`` with ``verb, key, value`` of the command in column ``line``; columns of these names are replaced.
 
     The verb is read in any case. PUT needs a key without spaces and a value
     that isn't empty; the key of GET and DELETE is all the rest of the line.
     What can't be parsed is verb INVALID, an unknown verb UNKNOWN; a NULL or
     blank line is INVALID. Parts a verb doesn't have are NULL.
+
+    Every step is a column of its own: as one expression the steps would be
+    repeated inside each other and be too long to compile.
     """
+    out = lines.withColumn("_text", _trim(F.coalesce(F.col(line), F.lit(""))))
+    out = out.withColumn("_named", F.upper(F.substring_index("_text", " ", 1)))
+    out = out.withColumn("_named", _named(F.col("_named")))
+    # Neither matches an empty text, so '' says that a part is missing.
+    out = out.withColumns({"_key": F.when(F.col("_named") == "PUT", F.regexp_extract("_text", PAIR, 1)).otherwise(F.regexp_extract("_text", REST, 1)), "_value": F.when(F.col("_named") == "PUT", F.regexp_extract("_text", PAIR, 2))})
+    keyed = F.col("_named").isin("PUT", "GET", "DELETE")
+    out = out.withColumn("_named", F.when((F.col("_text") == "") | (keyed & (F.col("_key") == "")), INVALID).otherwise(F.col("_named")))
+    parts = {"verb": F.col("_named"), "key": F.when(F.col("_named").isin("PUT", "GET", "DELETE"), F.col("_key")), "value": F.when(F.col("_named") == "PUT", F.col("_value"))}
+    return out.withColumns(parts).drop("_text", "_named", "_key", "_value")
+
+
+def parse_command(line: Column) -> Column:
+    """A command line as ``struct<verb, key, value>``; as ``with_command``, in one expression, for a few lines."""
     text = _trim(F.coalesce(line, F.lit("")))
-    first = F.upper(F.substring_index(text, " ", 1))
-    named = F.when(first.isin("PUT", "SET"), "PUT").when(first.isin("DELETE", "DEL"), "DELETE").when(first.isin("QUIT", "EXIT"), "QUIT").when(first.isin("GET", "PING", "STATUS"), first).otherwise("UNKNOWN")
-    rest = F.regexp_extract(text, r"(?s)^[^ ]* [ \t\r\n]*(.+)$", 1)
-    pair = r"(?s)^[^ ]* [ \t\r\n]*([^ ]+) [ \t\r\n]*(.+)$"
-    broken = (text == "") | ((named == "PUT") & ~text.rlike(pair)) | (named.isin("GET", "DELETE") & (rest == ""))
+    named = _named(F.upper(F.substring_index(text, " ", 1)))
+    rest, broken = F.regexp_extract(text, REST, 1), text == ""
+    broken = broken | ((named == "PUT") & ~text.rlike(PAIR)) | (named.isin("GET", "DELETE") & (rest == ""))
     verb = F.when(broken, INVALID).otherwise(named)
     return F.struct(
         verb.alias("verb"),
-        F.when(verb == "PUT", F.regexp_extract(text, pair, 1)).when(verb.isin("GET", "DELETE"), rest).alias("key"),
-        F.when(verb == "PUT", F.regexp_extract(text, pair, 2)).alias("value"),
+        F.when(verb == "PUT", F.regexp_extract(text, PAIR, 1)).when(verb.isin("GET", "DELETE"), rest).alias("key"),
+        F.when(verb == "PUT", F.regexp_extract(text, PAIR, 2)).alias("value"),
     )
 
 

@@ -40,11 +40,11 @@ def build(keys: DataFrame, column: str, m: int, k: int) -> DataFrame:
 def probe(rows: DataFrame, column: str, bloom: DataFrame, m: int, k: int, name: str = "maybe") -> DataFrame:
     """``rows`` with ``name``: false only if the value is not among the keys; NULL gives false.
 
-    The words go to every task; ``m`` is checked against ``MAX_BITS``. Larger
-    key sets call for a semi-join.
+    The words go to every task up to ``MAX_BITS``; those of larger filters are
+    joined with the places of the values, each different value once.
     """
     if m > MAX_BITS:
-        raise ValueError(f"{m} bits are too many to send to every task; use a semi-join")
+        return _joined_probe(rows, column, bloom, m, k, name)
     words = np.zeros((m + 63) // 64, np.uint64)
     for r in bloom.toLocalIterator():  # at most m / 64 rows
         words[r.word] = r.bits & 0xFFFFFFFFFFFFFFFF
@@ -68,6 +68,17 @@ def probe(rows: DataFrame, column: str, bloom: DataFrame, m: int, k: int, name:
     return hashed.mapInArrow(run, f"{fields}, `{name}` boolean")
 
 
+def _joined_probe(rows: DataFrame, column: str, bloom: DataFrame, m: int, k: int, name: str) -> DataFrame:
+    h1, h2 = _hashes(F.col(column))
+    hashed = rows.withColumns({"_h1": h1, "_h2": h2})
+    values = hashed.where(F.col(column).isNotNull()).select("_h1", "_h2").distinct()
+    at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.pmod(F.col("_h1") + i * F.col("_h2"), F.lit(m).cast("long"))))
+    bits = values.select("_h1", "_h2", at.alias("_at")).withColumn("word", F.shiftright("_at", 6)).join(bloom, "word", "left")
+    there = F.call_function("shiftrightunsigned", F.col("bits"), F.col("_at").bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+    answers = bits.groupBy("_h1", "_h2").agg(F.bool_and(F.coalesce(there, F.lit(False))).alias("_all"))
+    return hashed.join(answers, ["_h1", "_h2"], "left").select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce("_all", F.lit(False)).alias(name))
+
+
 def measure(keys: DataFrame, others: DataFrame, column: str, rate: float = RATE) -> DataFrame:
     """One row ``n_keys, n_bits, missed, false_positives, n_others``: missed is always 0."""
     distinct, rest = keys.select(column).where(F.col(column).isNotNull()).distinct(), others.select(column).where(F.col(column).isNotNull()).distinct()

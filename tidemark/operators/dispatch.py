@@ -16,7 +16,7 @@ def replies(commands: DataFrame, role: str = "standalone", status_text: str | No
     nothing. STATUS answers ``status_text`` as a value. Commands that can't be
     parsed, and STATUS without a text, answer UNKNOWN_COMMAND. ``seq`` is unique.
     """
-    rows = commands.select("seq", wire.parse_command(F.col("line")).alias("c")).select("seq", "c.verb", "c.key", "c.value")
+    rows = wire.with_command(commands.select("seq", "line"), "line").drop("line")
     writes, follows, told = F.col("verb").isin("PUT", "DELETE"), F.lit(role == "follower"), F.lit(status_text is not None)
     rows = _last_write(rows.withColumn("w", F.when(writes & ~follows, F.struct("seq", (F.col("verb") == "PUT").alias("put"), "value"))))
     live, get, put, delete = F.coalesce(F.col("last.put"), F.lit(False)), *(F.col("verb") == v for v in ("GET", "PUT", "DELETE"))

@@ -8,30 +8,44 @@ from pyspark.sql import functions as F
 PERCENTILES = (0.5, 0.95, 0.99, 0.999)
 
 
+#: Accuracy of the cut points around a percentile: some 2 / ACCURACY of the values lie between them.
+ACCURACY = 20_000
+
+
 def percentiles(values: DataFrame, column: str, ps: tuple[float, ...] = PERCENTILES) -> DataFrame:
     """``p, value``: element ``min(floor(n * p), n - 1)`` of the sorted values.
 
-    Equal values are counted once first, and only slice totals are summed in
-    one task, so no task holds all values. NULLs are left out; without values
-    there are no rows.
+    A sketch of quantiles gives two cut points around each percentile; one
+    aggregation counts what lies below them, and only the values between are
+    put in order, equal ones counted once. So no task holds more than a few of
+    20,000 parts of the values, whatever they are; where a sketch misses, its cut
+    points are opened. NULLs are left out; without values there are no rows.
     """
-    counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    low, high, total = counts.agg(F.min("value"), F.max("value"), F.sum("n")).first()
-    if total is None:
-        return counts.select(F.lit(0.0).alias("p"), "value").limit(0)
-    spark, slices = values.sparkSession, 1024
-    width = (float(high) - float(low)) / slices or 1.0
-    counts = counts.withColumn("slice", F.least(F.floor((F.col("value").cast("double") - float(low)) / width), F.lit(slices - 1)))
-    sums = sorted((r["slice"], r["n"]) for r in counts.groupBy("slice").agg(F.sum("n").alias("n")).collect())  # 1024 rows at most
-    wanted, before = [], 0
-    ranks = [(p, min(int(total * p), total - 1)) for p in ps]
-    for s, n in sums:
-        wanted += [(p, s, r - before) for p, r in ranks if before <= r < before + n]
-        before += n
-    want = spark.createDataFrame(wanted, "p double, slice long, rank long")
-    upto = F.sum("n").over(Window.partitionBy("slice").orderBy("value"))
-    placed = counts.join(F.broadcast(want.select("slice").distinct()), "slice", "left_semi").withColumn("upto", upto)
-    return placed.join(F.broadcast(want), "slice").where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))).select("p", "value")
+    rows, x = values.where(F.col(column).isNotNull()).select(F.col(column).alias("value")), F.col("value")
+    total = rows.count()
+    if not total:
+        return rows.select(F.lit(0.0).alias("p"), "value").limit(0)
+    ranks = [min(int(total * p), total - 1) for p in ps]
+    near = [max(0.0, min(1.0, (r + 1) / total + d / ACCURACY)) for r in ranks for d in (-2, 2)]
+    cuts = rows.agg(F.percentile_approx("value", near, ACCURACY)).first()[0]
+    pairs = list(zip(cuts[::2], cuts[1::2]))
+    tests = [f for i, (lo, hi) in enumerate(pairs) for f in (F.count_if(x < F.lit(lo)).alias(f"below{i}"), F.count_if(x <= F.lit(hi)).alias(f"upto{i}"))]
+    counts = rows.agg(*tests).first()
+    parts = []
+    for i, (p, rank, (lo, hi)) in enumerate(zip(ps, ranks, pairs)):
+        below, upto = counts[f"below{i}"], counts[f"upto{i}"]
+        part = rows
+        if rank >= below:
+            part = part.where(x >= F.lit(lo))
+        if rank < upto:
+            part = part.where(x <= F.lit(hi))
+        parts.append(part.select(F.lit(float(p)).alias("p"), F.lit(rank - (below if rank >= below else 0)).alias("rank"), "value"))
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.unionByName(more)
+    order = F.sum("n").over(Window.partitionBy("p").orderBy("value"))
+    placed = found.groupBy("p", "rank", "value").agg(F.count("*").alias("n")).withColumn("upto", order)
+    return placed.where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))).select("p", "value")
 
 
 def latency_summary(values: DataFrame, column: str) -> DataFrame:
@@ -54,9 +68,9 @@ def rates(ops: DataFrame, by: list[str]) -> DataFrame:
 
 def scaling(measured: DataFrame) -> DataFrame:
     """``threads, throughput, speedup, efficiency`` against the row of one thread (NULL without one)."""
-    base = F.max(F.when(F.col("threads") == 1, F.col("throughput"))).over(Window.partitionBy(F.lit(0)))
-    speedup = F.when(base > 0, F.col("throughput") / base)
-    return measured.select("threads", "throughput", speedup.alias("speedup"), (speedup / F.col("threads")).alias("efficiency"))
+    base = measured.agg(F.max(F.when(F.col("threads") == 1, F.col("throughput"))).alias("_base"))  # one row, sent to every task
+    speedup = F.when(F.col("_base") > 0, F.col("throughput") / F.col("_base"))
+    return measured.withColumn("_one", F.lit(1)).join(F.broadcast(base.withColumn("_one", F.lit(1))), "_one").select("threads", "throughput", speedup.alias("speedup"), (speedup / F.col("threads")).alias("efficiency"))
 
 
 def file_reduction(before: Column, after: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import frames, record_bytes, wire
 from tidemark.operators import bloom, cache, dispatch, lww, replication, runs, stats, wal
 from tidemark.plans.store import Store
-from tidemark.scratch import scratch_path
+from tidemark.scratch import cut, scratch_path
 from tidemark.sources.tables import event_oplog, table
 
 _KV = ["key", "value", "seq", "op"]
@@ -172,7 +172,7 @@ def repl_prefix_end(spark: SparkSession, folder: str) -> DataFrame:
 
 def repl_apply_prefix(spark: SparkSession, folder: str) -> DataFrame:
     messages = table(spark, folder, "repl_msgs")
-    return replication.applied_prefix(replication.follower_log(messages), replication.follower_state(messages).select("store_id", "commit_index"), ["store_id"])
+    return replication.applied_prefix(cut(replication.follower_log(messages)), replication.follower_state(messages).select("store_id", "commit_index"), ["store_id"])
 
 
 def repl_acks(spark: SparkSession, folder: str) -> DataFrame:
@@ -240,7 +240,7 @@ def scaling(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cmd_parse(spark: SparkSession, folder: str) -> DataFrame:
-    return _lines(spark, folder).select("seq", wire.parse_command(F.col("line")).alias("c")).select("seq", "c.verb", "c.key", "c.value")
+    return wire.with_command(_lines(spark, folder), "line").drop("line")
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:

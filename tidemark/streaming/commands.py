@@ -20,8 +20,8 @@ def lines(spark: SparkSession, folder: str | None = None, host: str | None = Non
 
 def requests(stream: DataFrame) -> DataFrame:
     """``verb, key, value`` of each line; lines that are too long are INVALID."""
-    line = F.when(F.octet_length("value") <= LINE_BYTES, F.col("value"))
-    return stream.select(wire.parse_command(line).alias("c")).select("c.*")
+    lines = stream.select(F.when(F.octet_length("value") <= LINE_BYTES, F.col("value")).alias("line"))
+    return wire.with_command(lines, "line").drop("line")
 
 
 def messages(stream: DataFrame) -> DataFrame:
