@@ -49,6 +49,9 @@ def test_log_written_by_spark_reads_back(spark, rows, tmp_path):
     back = spark.read.format("tidemark_log").load(f"{tmp_path}/log")
     assert back.where("NOT good").isEmpty() and back.count() == 20
     assert sorted((r.seq, bytes(r.key)) for r in back.collect()) == sorted((r.seq, bytes(r.key)) for r in df.collect())
+    binary.append_log(df.where("seq < 3"), f"{tmp_path}/log")
+    again = binary.read_logs(spark, f"file://{tmp_path}/log")
+    assert again.where("NOT good").isEmpty() and again.count() == 23 and rows(again.drop("path").where("seq >= 3")) == rows(back.where("seq >= 3"))
 
 
 def test_run_files(spark, tmp_path):
@@ -66,34 +69,37 @@ def test_run_files(spark, tmp_path):
         assert [(bytes(r.key), r.seq, r.op) for r in found] == [(b"key1050", 50, "PUT")]
         assert df.where("key > cast('key1097' as binary) AND key <= cast('key2001' as binary)").count() == 4
         assert df.where("key = cast('nothing' as binary)").isEmpty()
+        asked = spark.read.format("tidemark_run").option("own_bloom", "true").load(str(tmp_path))
+        assert asked.where("key = cast('key1050' as binary)").count() == 1 and asked.where("key = cast('key1050x' as binary)").isEmpty()
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
 
 
 NODE = """
-node:
-  id: 2
-  role: "follower"   
-# a comment
-server:
-  host: "127.0.0.1"
-  port: 9001
-replication:
-  port: 9101
-peers:
-  - host: "kv-node-1"
-    port: 9100
-  - host: "half"
+logging:
+  level: warn
 storage:
-  data_dir: ""
+  cache_size: 12
+  data_dir:
+# the nodes of this house
+peers:
+  - port: 7311
+    host: oak
+  - port: 7312
+server:
+\tthreads: 3
+\tport: "7300"
+node:
+    role:   leader
+    id: 41
 """
 
 
 def test_settings(tmp_path):
     (tmp_path / "node.yaml").write_text(NODE)
     s = settings.node_settings(f"{tmp_path}/node.yaml", threads=8, port=None)
-    assert (s.node_id, s.role, s.host, s.port, s.replication_port, s.threads, s.data_dir) == (2, "follower", "127.0.0.1", 9001, 9101, 8, "data")
-    assert s.peers == (("kv-node-1", 9100),)
+    assert (s.node_id, s.role, s.host, s.port, s.replication_port, s.threads, s.data_dir, s.cache_size, s.log_level) == (41, "leader", "0.0.0.0", 7300, 0, 8, "data", 12, "warn")
+    assert s.peers == (("oak", 7311),)
     for wrong in ({"port": 0}, {"role": "king"}, {"colour": "red"}):
         with pytest.raises(ValueError):
             settings.node_settings(**wrong)
@@ -102,3 +108,14 @@ def test_settings(tmp_path):
     assert (c.host, c.port, c.format) == ("example", 8, "text")
     with pytest.raises(ValueError):
         settings.client_settings(None, {"KV_FORMAT": "xml"})
+    file = tmp_path / "made" / "client.yaml"
+    assert settings.create_client_settings(file) and not settings.create_client_settings(file)
+    assert settings.client_settings(str(file), {}) == settings.ClientSettings()
+
+
+def test_unquoted(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["", " ", '"', '""', ' "a" ', '"a', 'a"b', '\t"x "\r\n', "é"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.u for r in df.select(settings.unquoted(F.col("t")).alias("u")).collect()] == list(map(settings.unquote, texts))

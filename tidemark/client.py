@@ -1,6 +1,7 @@
 """A client's view of a store: get, set, delete, status, a shell, and how results are shown.
 
-``python -m tidemark --path FOLDER get KEY`` runs one command.
+``python -m tidemark --path FOLDER get KEY`` runs one command; without ``--path`` the
+data lies in the folder that the settings name (``data_dir``), and stays there.
 """
 
 from __future__ import annotations
@@ -8,14 +9,14 @@ from __future__ import annotations
 import json
 import sys
 from argparse import ArgumentParser
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import wire
 from tidemark.plans.store import Store
-from tidemark.scratch import scratch_path
-from tidemark.sources.settings import client_settings
+from tidemark.sources.settings import CLIENT_FILE, client_settings, create_client_settings
 
 
 class Client:
@@ -104,18 +105,24 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--config")
     p.add_argument("--format", choices=("text", "json"))
     p.add_argument("command", choices=("get", "set", "delete", "del", "rm", "ping", "status", "config", "shell"))
-    p.add_argument("words", nargs="*")
+    p.add_argument("words", nargs="*", help="key and value; for config: show (the default) or init")
     a = p.parse_args(args)
     settings = client_settings(a.config)
     form = a.format or settings.format
     if a.command == "config":
+        if a.words == ["init"]:
+            file = Path(a.config) if a.config else CLIENT_FILE
+            print(f"{'created' if create_client_settings(file) else 'already there'}: {file}")
+            return 0
+        if a.words not in ([], ["show"]):
+            p.error("config takes show or init")
         print(json.dumps(vars(settings), indent=2))
         return 0
     wanted = {"get": 1, "set": 2, "delete": 1, "del": 1, "rm": 1}.get(a.command, 0)
     if len(a.words) != wanted:
         p.error(f"{a.command} takes {wanted} words")
     spark = SparkSession.builder.appName("tidemark").getOrCreate()
-    client = Client(spark, a.path or scratch_path(spark, "shell"))
+    client = Client(spark, a.path or Path(settings.data_dir).absolute().as_uri())
     if a.command == "get":
         value = client.get(a.words[0])
         print(show_value(a.words[0], value, form))

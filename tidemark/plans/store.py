@@ -119,6 +119,21 @@ class Store:
             return self._read([entry["path"]]).orderBy("key").toLocalIterator()
         return lww.lww(self.rows()).where(lww.LIVE).orderBy("key").toLocalIterator()
 
+    def positions(self, id: int) -> DataFrame:
+        """``position, key, value, seq, op`` of a run: its rows with their places in key order from 0, as they are stored.
+
+        Parts of a run are in the order of their names, so a row's place is its
+        place in its part, raised by the parts before; nothing is sorted.
+        """
+        path = self.file(id)["path"]
+        parts, before = [], 0
+        for name, facts in sorted(self.log.footers(f"{self.path}/{path}").items()) if not path.endswith(".parquet") else [(path.rpartition("/")[2], None)]:
+            parts.append((name, before))
+            before += facts["n_rows"] if facts else 0
+        ahead = self.spark.createDataFrame(parts, "_name string, _ahead long")
+        rows = self._read([path]).select(*COLUMNS, F.col("_metadata.file_name").alias("_name"), F.col("_metadata.row_index").alias("_row"))
+        return rows.join(F.broadcast(ahead), "_name").select((F.col("_row") + F.col("_ahead")).alias("position"), *COLUMNS)
+
     def listing(self) -> DataFrame:
         """Every stored row with its source, the log first, then runs from the newest; unmerged."""
         parts = [("memtable", self.memtable())] + [(f"run_{r['id']}", self._read([r["path"]])) for r in sorted(self.state["runs"], key=lambda r: -r["id"])]

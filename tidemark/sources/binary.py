@@ -5,6 +5,10 @@ and append), ``RunFiles`` the format ``tidemark_run`` (read). A file is one
 partition. Reads of runs skip files whose key range can't hold a wanted key, and
 go to the nearest sparse-index entry, if key filters are pushed
 (``spark.sql.python.filterPushdown.enabled``).
+
+Both formats open files as Python does: the paths must be the same disk for all
+tasks. ``read_logs`` reads logs from any file system Spark knows. ``append_log``
+writes, and refuses on a cluster unless the caller says that the folder is shared.
 """
 
 from __future__ import annotations
@@ -16,7 +20,11 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from glob import glob
+from io import BytesIO
+from typing import BinaryIO
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 # Layouts (little-endian), codes, and how often a run's index has an entry.
@@ -28,6 +36,7 @@ RUN_OPS = {0: "PUT", 1: "DELETE"}
 INDEX_EVERY = 16
 BLOOM_RATE = 0.01
 LOG_SCHEMA = "offset long, checksum long, seq long, op string, key binary, value binary, good boolean"
+LOG_ARROW = pa.schema([("offset", pa.int64()), ("checksum", pa.int64()), ("seq", pa.int64()), ("op", pa.string()), ("key", pa.binary()), ("value", pa.binary()), ("good", pa.bool_())])
 RUN_SCHEMA = "key binary, value binary, seq long, op string"
 
 
@@ -43,19 +52,45 @@ def read_log(path: str) -> Iterator[tuple]:
     The broken record comes last, with ``good`` false and what could be read.
     """
     with open(path, "rb") as f:
-        at = 0
-        while head := f.read(LOG_HEAD.size):
-            if len(head) < LOG_HEAD.size:
-                yield (at, None, None, None, None, None, False)
-                return
-            checksum, seq, op, key_len, value_len = LOG_HEAD.unpack(head)
-            left = os.fstat(f.fileno()).st_size - f.tell()
-            body = f.read(key_len + value_len) if key_len + value_len <= left else b""
-            good = len(body) == key_len + value_len and op in LOG_OPS and zlib.crc32(head[4:] + body) == checksum
-            yield (at, checksum, seq, LOG_OPS.get(op), body[:key_len], body[key_len:], good)
-            if not good:
-                return
-            at += len(head) + len(body)
+        yield from _records(f, os.fstat(f.fileno()).st_size)
+
+
+def _records(f: BinaryIO, size: int) -> Iterator[tuple]:
+    at = 0
+    while head := f.read(LOG_HEAD.size):
+        if len(head) < LOG_HEAD.size:
+            yield (at, None, None, None, None, None, False)
+            return
+        checksum, seq, op, key_len, value_len = LOG_HEAD.unpack(head)
+        left = size - f.tell()
+        body = f.read(key_len + value_len) if key_len + value_len <= left else b""
+        good = len(body) == key_len + value_len and op in LOG_OPS and zlib.crc32(head[4:] + body) == checksum
+        yield (at, checksum, seq, LOG_OPS.get(op), body[:key_len], body[key_len:], good)
+        if not good:
+            return
+        at += len(head) + len(body)
+
+
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """``path`` of each log file and its records as ``tidemark_log`` gives them, from any file system. A file is held in memory, so up to 2 GB."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                if rows := list(_records(BytesIO(data), len(data))):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), *(pa.array(c, f.type) for c, f in zip(zip(*rows), LOG_ARROW))], names=["path", *LOG_ARROW.names])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInArrow(run, f"path string, {LOG_SCHEMA}")
+
+
+def append_log(rows: DataFrame, folder: str, shared: bool = False) -> None:
+    """Append ``seq, op, key, value`` to the log in ``folder``, a segment for each task. ``shared``: all tasks see one disk there."""
+    spark = rows.sparkSession
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("each task would write to its own machine; name a shared folder and say so")
+    spark.dataSource.register(LogFiles)
+    rows.select("seq", "op", "key", "value").write.format("tidemark_log").mode("append").save(folder)
 
 
 class FilePartition(InputPartition):
@@ -183,7 +218,7 @@ class Bloom:
 
 
 class RunMeta:
-    """Key range and sparse index from a run file's end. The Bloom bits of other writers use their own hash and are skipped."""
+    """Key range, sparse index and Bloom bits from a run file's end."""
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
@@ -203,7 +238,11 @@ class RunMeta:
 
 
 class RunFiles(DataSource):
-    """Format ``tidemark_run``: option ``path`` is a file, a pattern or a folder of ``.bin`` files."""
+    """Format ``tidemark_run``: option ``path`` is a file, a pattern or a folder of ``.bin`` files.
+
+    Option ``own_bloom`` says that the files are of this writer: lookups of one
+    key then ask their Bloom bits, which other writers set by their own hash.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -219,6 +258,7 @@ class RunFiles(DataSource):
 class _RunReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.files, self.low, self.high = _files(options, ".bin"), None, None
+        self.own_bloom = options.get("own_bloom", "false") == "true"
 
     def pushFilters(self, filters: list) -> Iterable:
         """Bounds on ``key`` narrow what is read; all filters are applied again by Spark."""
@@ -240,6 +280,8 @@ class _RunReader(DataSourceReader):
         meta = RunMeta(partition.path)
         if self.low is not None and meta.high < self.low or self.high is not None and meta.low > self.high:
             return
+        if self.own_bloom and self.low is not None and self.low == self.high and self.low not in Bloom.load(meta.bloom):
+            return
         begin = 0
         for key, offset in meta.index:
             if self.low is not None and key <= self.low:

@@ -6,6 +6,9 @@ import os
 from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 # Defaults of a node and of a client.
 @dataclass(frozen=True)
@@ -28,6 +31,7 @@ class ClientSettings:
     port: int = 9000
     timeout: str = "30s"
     format: str = "text"
+    data_dir: str = str(Path.home() / ".tidemark" / "data")
 
 
 _PLACES = {
@@ -42,6 +46,12 @@ def unquote(text: str) -> str:
     return text[1:-1] if len(text) >= 2 and text[0] == text[-1] == '"' else text
 
 
+def unquoted(text: Column) -> Column:
+    """``unquote`` as a column expression."""
+    bare = F.btrim(text, F.lit(" \t\r\n"))
+    return F.when((F.length(bare) >= 2) & bare.startswith('"') & bare.endswith('"'), F.substring(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare)
+
+
 def parse_sections(text: str) -> tuple[dict[tuple[str, str], str], list[dict[str, str]]]:
     """Values by section and key, and the items of the list ``peers``. Comments and lines without a colon are skipped."""
     values: dict[tuple[str, str], str] = {}
@@ -89,9 +99,23 @@ def node_settings(path: str | None = None, **flags: object) -> NodeSettings:
     return out
 
 
+#: Where a client's settings lie if no other file is named.
+CLIENT_FILE = Path.home() / ".tidemark" / "client.yaml"
+
+
+def create_client_settings(path: Path = CLIENT_FILE) -> bool:
+    """Write the default settings to ``path`` unless it is there; whether it was written."""
+    if path.exists():
+        return False
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text("".join(f"{f.name}: {getattr(ClientSettings(), f.name)}\n" for f in fields(ClientSettings)))
+    return True
+
+
 def client_settings(path: str | None = None, environment: dict[str, str] | None = None) -> ClientSettings:
-    """Settings from a flat file, then from ``KV_*`` in the environment."""
+    """Settings from a flat file (``CLIENT_FILE`` if none is named), then from ``KV_*`` in the environment."""
     given: dict[str, object] = {}
+    path = path or str(CLIENT_FILE)
     if path and Path(path).exists():
         values, _ = parse_sections(Path(path).read_text())
         given |= {k: v for (_, k), v in values.items() if v and k in {f.name for f in fields(ClientSettings)}}
