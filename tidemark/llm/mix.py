@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from tidemark.scratch import cut
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The session setting that names the vocabulary file, and where it lies without that.
+VOCABULARY_SETTING, VOCABULARY = "spark.tidemark.vocabulary", "/opt/tokenizers/byte_bpe_50k.tiktoken"
 VOCABULARY_BYTES = 8 << 20  # what may be sent to every task
 # Fixed value: how the vocabulary's texts are split before pairs are merged.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -33,13 +34,14 @@ MAX_SOURCES = 100_000
 _encoders: dict[int, object] = {}
 
 
-def with_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id, source, tokens``: texts sized by the byte-pair vocabulary in the file ``vocabulary``.
+def with_tokens(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """``doc_id, source, tokens``: texts sized by the byte-pair vocabulary in the file ``vocabulary``, or in the one the session names.
 
     The driver reads the file and sends it to the tasks; its size is checked.
     NULL and empty texts have 0 tokens. ``source`` comes out in lower case
     without outer blanks.
     """
+    vocabulary = vocabulary or documents.sparkSession.conf.get(VOCABULARY_SETTING, VOCABULARY)
     data = Path(vocabulary).read_bytes()
     if len(data) > VOCABULARY_BYTES:
         raise ValueError(f"{vocabulary} is too large to send to every task")
@@ -131,7 +133,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
         rows.join(F.broadcast(facts), "source")
         .where("needed > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), "needed")))
-        .withColumn("turn", F.xxhash64(F.lit(seed), "doc_id", "copy"))
+        .withColumn("turn", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long"))
         .withColumn("slice", F.pmod(F.shiftrightunsigned("turn", 20), F.lit(slices)))
     )
     lane = ("source", "copy", "slice")
@@ -175,5 +177,7 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     got = used.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_documents"), F.sum("uses").alias("n_copies"), F.max("uses").alias("most_uses"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     rows = targets.select(F.lower(F.btrim("source")).alias("source"), "target_share").join(got, "source", "left")
-    total = F.sum(zero("tokens")).over(Window.partitionBy(F.lit(0)))
+    sums = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("_total")).withColumn("_one", F.lit(1))  # one row, sent to every task
+    total = F.col("_total")
+    rows = rows.withColumn("_one", F.lit(1)).join(F.broadcast(sums), "_one")
     return rows.select("source", "target_share", F.when(total > 0, zero("tokens") / total).otherwise(0.0).alias("actual_share"), *(zero(c).alias(c) for c in ("tokens", "n_documents", "n_copies", "most_uses")))
