@@ -20,12 +20,14 @@ BLOCK_BITS = 16
 def latest(rows: DataFrame, keys: list[str], order: list[str], payload: list[str]) -> DataFrame:
     """The row of the greatest ``order`` for each of ``keys``.
 
-    One aggregation: rows of a key are reduced before the shuffle. ``order``
-    should be total; ties are decided by ``payload``.
+    Rows of a key are reduced to one before the shuffle (a window's group limit),
+    so a hot key costs a row a task. Texts can't be kept in a hash table of an
+    aggregation, so rows are sorted in any case; this sorts them once on either
+    side of the shuffle. ``order`` should be total; ties are decided by ``payload``.
     """
-    best = F.max(F.struct(*order, *[c for c in payload if c not in order])).alias("best")
     columns = list(dict.fromkeys([*order, *payload]))
-    return rows.groupBy(*keys).agg(best).select(*keys, *[F.col(f"best.{c}").alias(c) for c in columns])
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in columns]))
+    return rows.select(*keys, *[c for c in columns if c not in keys], place.alias("_place")).where("_place = 1").select(*keys, *[c for c in columns if c not in keys])
 
 
 def lww(oplog: DataFrame) -> DataFrame:
