@@ -54,12 +54,20 @@ def test_shares_caps_and_budget(spark):
 def test_exact_shares_where_the_sources_suffice(spark):
     sizes = [("a", 3)] * 500 + [("b", 7)] * 50
     t = spark.createDataFrame([("a", 0.25, 1), ("b", 0.75, 4)], TARGETS)
-    total = mix.largest_exact_total({"a": 1500, "b": 350}, mix.read_targets(t))
+    total = mix.largest_exact_total(mix.source_sizes(make(spark, sizes), t))
     assert total == math.floor(1400 / 0.75)
     got = {r.source: r.actual_share for r in mix.shares(mix.mixture(make(spark, sizes), t, total), t).collect()}
     assert got["a"] == pytest.approx(0.25, abs=0.01) and got["b"] == pytest.approx(0.75, abs=0.01)
 
 
+def test_level(spark):
+    sizes = spark.createDataFrame([("a", 0.5, 1, 10, 100), ("b", 0.25, 2, 5, 40), ("c", 0.25, 0, 5, 40)], "source string, share double, passes int, n long, size long")
+    for budget, want in ((0, 0), (75, 100), (150, 200), (180, 320)):  # a ends at 200, b at 320
+        assert want <= mix.finish_level(sizes, budget) <= want + 0.01
+    assert math.isinf(mix.finish_level(sizes, 181)) and math.isinf(mix.finish_level(sizes.limit(0), 1))
+    assert mix.largest_exact_total(sizes) == 200 and mix.largest_exact_total(sizes.limit(0)) == 0
+
+
 def test_many_slices_give_the_same(spark, monkeypatch, rows):
     df = make(spark, [("a", 1 + i % 9) for i in range(400)] + [("b", 4)] * 30)
     t = spark.createDataFrame([("a", 0.6, 2), ("b", 0.4, 5)], TARGETS)

@@ -29,8 +29,8 @@ SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 #: Rows of a slice, on average; a source of any size has as many slices as it needs.
 SLICE_ROWS = 50_000
 CUT_SLICES = 4096
-#: Listed sources, whose targets go to the driver and to every task.
-MAX_SOURCES = 100_000
+#: Times that are tried at once, and how often, to find where the budget is sent.
+GRID, ROUNDS = 32, 3
 _encoders: dict[int, object] = {}
 
 
@@ -62,42 +62,45 @@ def with_tokens(documents: DataFrame, vocabulary: str | None = None) -> DataFram
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), source, "text").mapInArrow(count, "doc_id long, source string, tokens long")
 
 
-def read_targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
-    """``source -> (share, passes)``; one row for each source, spelled in any case. Raises beyond ``MAX_SOURCES``."""
-    if (n := targets.count()) > MAX_SOURCES:
-        raise ValueError(f"{n} targets are more than {MAX_SOURCES}")
-    out = {}
-    for r in targets.toLocalIterator():
-        if r.source is None or r.target_share is None or r.target_share <= 0:
-            continue
-        name = r.source.strip().lower()
-        if name in out:
-            raise ValueError(f"two targets for source {name!r}")
-        out[name] = (float(r.target_share), max(0, int(1 if r.max_repeats is None else r.max_repeats)))
-    return out
+def read_targets(targets: DataFrame) -> DataFrame:
+    """``source, share, passes``: one row for each source with a positive share, spelled in any case; raises if one has two."""
+    rows = targets.where("source IS NOT NULL AND target_share > 0").select(
+        F.lower(F.btrim("source")).alias("source"), F.col("target_share").cast("double").alias("share"), F.greatest(F.lit(0), F.coalesce(F.col("max_repeats").cast("int"), F.lit(1))).alias("passes")
+    )
+    twice = rows.groupBy("source").count().where("count > 1").first()
+    if twice is not None:
+        raise ValueError(f"two targets for source {twice.source!r}")
+    return rows
+
 
+def source_sizes(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """``source, share, passes, n, size``: documents and tokens of each listed source that has any."""
+    sums = documents.where("tokens > 0").groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("size"))
+    return read_targets(targets).join(sums, "source")
 
-def finish_level(sizes: dict[str, int], targets: dict[str, tuple[float, int]], budget: int) -> float:
-    """The virtual time at which all sources together have sent ``budget`` tokens; infinite if they can't."""
-    ends = sorted((sizes.get(s, 0) * passes / share, share) for s, (share, passes) in targets.items())
-    sent, weight, level = 0.0, math.fsum(share for _, share in ends), 0.0
-    for end, share in ends:
-        if sent + (end - level) * weight >= budget:
-            return level + (budget - sent) / weight
-        sent, level, weight = sent + (end - level) * weight, end, weight - share
-    return math.inf
 
+def largest_exact_total(sizes: DataFrame) -> int:
+    """The most tokens at which every source that has documents (see ``source_sizes``) still gives its share."""
+    return sizes.where("passes > 0").agg(F.floor(F.min(F.col("size") * F.col("passes") / F.col("share")))).first()[0] or 0
 
-def largest_exact_total(sizes: dict[str, int], targets: dict[str, tuple[float, int]]) -> int:
-    """The most tokens at which every source that has documents still gives its share."""
-    return math.floor(min((sizes[s] * passes / share for s, (share, passes) in targets.items() if sizes.get(s) and passes), default=0))
 
+def finish_level(sizes: DataFrame, budget: int) -> float:
+    """A virtual time at which all sources together have sent ``budget`` tokens, hardly later than need be; infinite if they can't.
 
-def source_sizes(documents: DataFrame, targets: DataFrame) -> dict[str, int]:
-    """Tokens of each listed source."""
-    listed = documents.sparkSession.createDataFrame([(s,) for s in read_targets(targets)], "source string")
-    sums = documents.join(F.broadcast(listed), "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    return {r.source: r.tokens for r in sums.toLocalIterator()}
+    What has been sent rises with the time, so it is looked for among ``GRID``
+    times at once, one aggregation over the sources for each of ``ROUNDS``.
+    """
+    end = F.col("size") * F.col("passes") / F.col("share")
+    total, high = sizes.agg(F.sum(F.col("size") * F.col("passes")), F.max(end)).first()
+    if total is None or total < budget:
+        return math.inf
+    low = 0.0
+    for _ in range(ROUNDS):
+        times = [low + (high - low) * (i + 1) / GRID for i in range(GRID)]
+        sent = sizes.agg(*[F.sum(F.least(end, F.lit(x)) * F.col("share")) for x in times]).first()
+        i = next((i for i in range(GRID) if sent[i] >= budget), GRID - 1)
+        low, high = (times[i - 1] if i else low), times[i]
+    return high
 
 
 def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 0) -> DataFrame:
@@ -112,25 +115,21 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     ``shares`` tells what was reached. Documents of no listed source (NULL too)
     and documents of 0 tokens take no part. Ties go by source, document, copy.
     """
-    wanted = read_targets(targets)
-    spark = documents.sparkSession
-    plan = spark.createDataFrame([(s, *t) for s, t in wanted.items()], "source string, share double, passes int")
-    # read_targets has checked how many there are.
     # Sizes are written once, as the texts must not be split into tokens for each sum below.
-    rows = cut(documents.where("tokens > 0").select("doc_id", "source", "tokens").join(F.broadcast(plan), "source"))
-    found = {r.source: (r.n, r.tokens) for r in rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).toLocalIterator()}
-    sizes = {s: t for s, (_, t) in found.items()}
-    budget = sum(sizes.values()) if total_tokens is None else total_tokens
-    level = finish_level(sizes, wanted, budget)
+    rows = cut(documents.where("tokens > 0").select("doc_id", "source", "tokens").join(read_targets(targets).select("source", "share"), "source"))
+    sizes = cut(source_sizes(rows.select("source", "tokens"), targets))
+    n_sources, most, least, tokens = sizes.agg(F.count("*"), F.max("n"), F.min("share"), F.sum("size")).first()
+    budget = (tokens or 0) if total_tokens is None else total_tokens
+    level = finish_level(sizes, budget)
     largest = rows.agg(F.max("tokens")).first()[0] or 0
     # No copy that is kept finishes much above the level: each source may be one document off it.
-    bound = level + (len(wanted) + 1) * largest / min((t[0] for t in wanted.values()), default=1.0) if math.isfinite(level) else math.inf
-    needed = {s: min(wanted[s][1], math.ceil(bound * wanted[s][0] / t) if math.isfinite(bound) else wanted[s][1]) for s, t in sizes.items()}
-    slices = max(1, math.ceil(max((n for n, _ in found.values()), default=1) / SLICE_ROWS))
-    facts = spark.createDataFrame([(s, sizes[s], n) for s, n in needed.items()], "source string, size long, needed int")
+    bound = level + (n_sources + 1) * largest / (least or 1.0)
+    needed = F.least("passes", F.ceil(F.lit(bound) * F.col("share") / F.col("size"))) if math.isfinite(bound) else F.col("passes")
+    slices = max(1, math.ceil((most or 1) / SLICE_ROWS))
+    facts = sizes.select("source", "size", needed.cast("int").alias("needed"))
 
     copies = (
-        rows.join(F.broadcast(facts), "source")
+        rows.join(facts, "source")
         .where("needed > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), "needed")))
         .withColumn("turn", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long"))

@@ -57,7 +57,7 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 def p7_exact_mixture(spark: SparkSession, folder: str) -> DataFrame:
     """The mixture of the largest total that every source with documents can serve."""
     documents, targets = cut(mix.with_tokens(table(spark, folder, "documents"))), table(spark, folder, "mix_targets")
-    total = mix.largest_exact_total(mix.source_sizes(documents, targets), mix.read_targets(targets))
+    total = mix.largest_exact_total(mix.source_sizes(documents, targets))
     return mix.mixture(documents, targets, total)
 
 
