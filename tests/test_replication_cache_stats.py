@@ -144,6 +144,8 @@ def test_bloom(spark, rows, monkeypatch):
     m, k = bloom.sized(1000)
     filled, asked = bloom.build(keys, "k", m, k), keys.unionByName(others).withColumn("maybe2", F.lit(1))
     sent = rows(bloom.probe(asked, "k", filled, m, k))
+    again, *sizes = bloom.load(spark, bloom.dump(filled, m, k))
+    assert sizes == [m, k] and rows(again) == rows(filled)
     monkeypatch.setattr(bloom, "MAX_BITS", 1)  # too large to send: joined
     assert rows(bloom.probe(asked, "k", filled, m, k)) == sent
 

@@ -7,11 +7,12 @@ out. Places come from double hashing, ``h1 + i * h2`` modulo the number of bits.
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RATE = 0.01
@@ -45,10 +46,7 @@ def probe(rows: DataFrame, column: str, bloom: DataFrame, m: int, k: int, name:
     """
     if m > MAX_BITS:
         return _joined_probe(rows, column, bloom, m, k, name)
-    words = np.zeros((m + 63) // 64, np.uint64)
-    for r in bloom.toLocalIterator():  # at most m / 64 rows
-        words[r.word] = r.bits & 0xFFFFFFFFFFFFFFFF
-    sent = rows.sparkSession.sparkContext.broadcast(words)
+    sent = rows.sparkSession.sparkContext.broadcast(_words(bloom, m))
     h1, h2 = _hashes(F.col(column))
     hashed = rows.withColumns({"_h1": h1, "_h2": h2, "_there": F.col(column).isNotNull()})
 
@@ -68,6 +66,30 @@ def probe(rows: DataFrame, column: str, bloom: DataFrame, m: int, k: int, name:
     return hashed.mapInArrow(run, f"{fields}, `{name}` boolean")
 
 
+def _words(bloom: DataFrame, m: int) -> np.ndarray:
+    """All words of a filter of at most ``MAX_BITS``."""
+    words = np.zeros((m + 63) // 64, np.uint64)
+    for r in bloom.toLocalIterator():  # at most m / 64 rows
+        words[r.word] = r.bits & 0xFFFFFFFFFFFFFFFF
+    return words
+
+
+def dump(bloom: DataFrame, m: int, k: int) -> bytes:
+    """A filter as bytes: bits, hash functions, length, and the bits, lowest first. Larger ones than ``MAX_BITS`` stay tables."""
+    if m > MAX_BITS:
+        raise ValueError("write a filter of this size as the table it is")
+    bits = _words(bloom, m).astype("<u8").tobytes()
+    return struct.pack("<QQQ", m, k, len(bits)) + bits
+
+
+def load(spark: SparkSession, data: bytes) -> tuple[DataFrame, int, int]:
+    """The filter, ``m`` and ``k`` of ``dump``."""
+    m, k, n = struct.unpack_from("<QQQ", data)
+    words = np.frombuffer(data, "<i8", n // 8, 24)
+    at = np.flatnonzero(words)
+    return spark.createDataFrame(list(zip(at.tolist(), words[at].tolist())), "word long, bits long"), m, k
+
+
 def _joined_probe(rows: DataFrame, column: str, bloom: DataFrame, m: int, k: int, name: str) -> DataFrame:
     h1, h2 = _hashes(F.col(column))
     hashed = rows.withColumns({"_h1": h1, "_h2": h2})
