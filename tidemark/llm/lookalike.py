@@ -18,7 +18,6 @@ of spaces, line breaks.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -86,9 +85,9 @@ def _form(cluster: str) -> str:
 def build_table() -> dict[str, str]:
     """Every character, line end and composed letter's cluster whose form differs from it. Raises on a conflict."""
     table = dict.fromkeys(LINE_ENDS, "\n")
-    for i in (*range(0x10000), *range(0x10300, 0x2FA1E), *range(0xE0000, 0xE01F0)):
+    for i in (*range(0x10000), *range(0x10300, 0x20000), *range(0x2F800, 0x2FA1E), *range(0xE0000, 0xE01F0)):
         c = chr(i)
-        concerned = unicodedata.decomposition(c) or i in _shape or c == "\t" or unicodedata.category(c) in ("Zs", "Cf", "Mn") or _is_invisible(c)
+        concerned = unicodedata.decomposition(c) or i in _shape or c == "\t" or unicodedata.category(c) in ("Zs", "Cf", "Mn") or c in FILLERS
         if concerned and not 0xAC00 <= i < 0xD7A4 and (f := _form(c)) != c:
             table.setdefault(c, f)
     table |= _clusters()
@@ -145,7 +144,7 @@ class Transducer:
         self.table = build_table()
         # Marks, and what has the form of a mark, as the half-width sound marks.
         self.marks = _class(i for i in range(0x300, 0x20000) if unicodedata.category(self.table.get(chr(i), chr(i))[:1] or "x")[0] == "M")
-        self.invisible = _class(i for i in range(sys.maxunicode + 1) if i < 0x20000 or i >= 0xE0000 if _is_invisible(chr(i)))
+        self.invisible = _class(i for i in (*range(0x20000), *range(0xE0000, 0xE01F0)) if _is_invisible(chr(i)))
         single = _class(ord(c) for c in self.table if len(c) == 1)
         # Longest first: a cluster with its marks, a run of conjoining letters, a line end, one character.
         self._simple = {ord(c): f for c, f in self.table.items() if len(c) == 1}
