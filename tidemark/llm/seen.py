@@ -28,7 +28,7 @@ from tidemark.scratch import scratch_path
 from tidemark.sources.commitlog import CommitLog
 
 STORED = -1  # arrival of keys that were there before the stream
-KEYS_PER_BUCKET = 256
+KEYS_PER_BUCKET = 1024
 KEYED, REPEAT, NO_KEY = 0, 1, 2  # what a row is before it meets the state
 VERDICTS = ("first", "repeat", "no key")
 ROWS = "bucket long, kind int, name binary, arrival long"
