@@ -114,3 +114,28 @@ def test_malformed_frames(spark):
 def test_shown_value(spark):
     df = spark.createDataFrame([('{"b": 1,  "a": [1, 2]}',), ("not json",), ("",), (None,)], "v string").select(wire.shown_value(F.col("v")).alias("s"))
     assert [r.s for r in df.collect()] == ['{"a":[1,2],"b":1}', "not json", "", None]
+
+
+def test_commands_answered_batch_by_batch(spark, rows, tmp_path):
+    from tidemark.plans.store import Store
+    from tidemark.streaming import commands, live
+
+    path, out = f"file://{tmp_path}/store", f"file://{tmp_path}/replies"
+    sink = commands.answer(path, out, "s")
+    batches = [["PUT a 1", "GET a", "GET b", "DEL a", "GET a", "PUT b x y"], ["GET b", "DEL b", "DEL b", "PING", "what", "SET a 2"], ["GET a", "GET b"]]
+    for n, lines in enumerate(batches):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{n}.txt").write_text("\n".join(lines))
+        live.run_available(commands.lines(spark, f"{tmp_path}/in"), sink, f"{tmp_path}/checkpoint")
+    said = [[r.line.strip() for r in spark.read.parquet(f"{out}/batch={n}").orderBy("seq").collect()] for n in range(3)]
+    assert said == [
+        ["+OK STORED", "+VALUE 1", "-ERR NOT_FOUND", "+OK DELETED", "-ERR NOT_FOUND", "+OK STORED"],
+        ["+VALUE x y", "+OK DELETED", "-ERR DELETE_FAILED", "+OK PONG", "-ERR UNKNOWN_COMMAND", "+OK STORED"],
+        ["+VALUE 2", "-ERR NOT_FOUND"],
+    ]
+    version = Store(spark, path).version
+    sink(spark.createDataFrame([("PUT z 1",)], "value string"), 1)  # a batch that is there already
+    assert Store(spark, path).version == version and rows(Store(spark, path).snapshot(), "key", "value") == [("a", "2")]
+    follower = commands.answer(path, f"{out}2", "f", "follower")
+    follower(spark.createDataFrame([("PUT a 3",), ("GET a",)], "value string").coalesce(1), 0)
+    assert [r.line.strip() for r in spark.read.parquet(f"{out}2/batch=0").orderBy("seq").collect()] == [f"-ERR {wire.NOT_LEADER}", "+VALUE 2"]

@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 from tidemark.functions import wire
 
 
-def replies(commands: DataFrame, role: str = "standalone", status_text: str | None = None) -> DataFrame:
+def replies(commands: DataFrame, role: str = "standalone", status_text: str | None = None, before: DataFrame | None = None) -> DataFrame:
     """``seq, verb, key, success, message, value, line`` for each row of ``(seq, line)``.
 
     A GET sees the last PUT or DELETE before it on its key; DELETE succeeds if
     the key was live. A follower refuses PUT and DELETE, and they change
     nothing. STATUS answers ``status_text`` as a value. Commands that can't be
-    parsed, and STATUS without a text, answer UNKNOWN_COMMAND. ``seq`` is unique.
+    parsed, and STATUS without a text, answer UNKNOWN_COMMAND. ``seq`` is unique
+    and at least 0. ``before`` has the rows ``key, value`` that were live before
+    the first command; without it there are none.
     """
     rows = wire.with_command(commands.select("seq", "line"), "line").drop("line")
+    if before is not None:
+        rows = rows.unionByName(before.select(F.lit(-1).cast("long").alias("seq"), F.lit("PUT").alias("verb"), "key", "value"))
     writes, follows, told = F.col("verb").isin("PUT", "DELETE"), F.lit(role == "follower"), F.lit(status_text is not None)
-    rows = _last_write(rows.withColumn("w", F.when(writes & ~follows, F.struct("seq", (F.col("verb") == "PUT").alias("put"), "value"))))
+    counts = writes & (~follows | (F.col("seq") < 0))
+    rows = _last_write(rows.withColumn("w", F.when(counts, F.struct("seq", (F.col("verb") == "PUT").alias("put"), "value"))))
     live, get, put, delete = F.coalesce(F.col("last.put"), F.lit(False)), *(F.col("verb") == v for v in ("GET", "PUT", "DELETE"))
     ping, bye, status_asked = (F.col("verb") == v for v in ("PING", "QUIT", "STATUS"))
     message = (
@@ -31,6 +36,7 @@ def replies(commands: DataFrame, role: str = "standalone", status_text: str | No
         .when(status_asked & told, "OK")
         .otherwise(wire.UNKNOWN_COMMAND)
     )
+    rows = rows.where("seq >= 0") if before is not None else rows
     success = F.when(writes & follows, False).when(get | delete, live).otherwise(put | ping | bye | (status_asked & told))
     value = F.when(get & live, F.col("last.value")).when(status_asked & told, F.lit(status_text))
     out = rows.select("seq", "verb", "key", success.alias("success"), message.alias("message"), value.alias("value"))

@@ -168,6 +168,10 @@ class Store:
         top = max([r["max_seq"] for r in run], default=0)
         self._publish(runs=[*self.state["runs"], *run], next_id=self.state["next_id"] + 1, next_seq=max(self.state["next_seq"], top + 1), batches=self._batches(batch))
 
+    def wrote(self, name: str, n: int) -> bool:
+        """Whether batch ``n`` of stream ``name`` is in the store."""
+        return self._known((name, n))
+
     def _known(self, batch: tuple[str, int] | None) -> bool:
         return batch is not None and self.state["batches"].get(batch[0], -1) >= batch[1]
 
