@@ -172,13 +172,14 @@ class SeenKeys:
         return self.verdicts(id_column).where("verdict = 'repeat'").select(id_column)
 
 
-#: Files of arrivals that the queries take in at a time.
-FILES_PER_BATCH = 8
+#: Files of arrivals that the queries take in at a time, at least, and batches they make of many files.
+FILES_PER_BATCH, BATCHES = 8, 8
 
 
-def over_folder(spark: SparkSession, folder: str, files_per_batch: int = FILES_PER_BATCH) -> SeenKeys:
-    """The state after all of ``incoming_ops`` on top of ``leader_sst`` and ``sst_index``."""
+def over_folder(spark: SparkSession, folder: str) -> SeenKeys:
+    """The state after all of ``incoming_ops``, in several batches, on top of ``leader_sst`` and ``sst_index``."""
     seen = SeenKeys(spark, scratch_path(spark, "seen"))
+    files_per_batch = max(FILES_PER_BATCH, -(-len(spark.read.parquet(f"{folder}/incoming_ops.parquet").inputFiles()) // BATCHES))
     seen.advance(f"{folder}/incoming_ops.parquet", (f"{folder}/leader_sst.parquet", f"{folder}/sst_index.parquet"), files_per_batch=files_per_batch)
     return seen
 
