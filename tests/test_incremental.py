@@ -45,6 +45,10 @@ def test_runs_neither_skip_nor_repeat(spark, rows, tmp_path):
     assert rows(store.marks()) == [(1, 1, 30, 2)]
     assert store.run(df(), marks) == 3 and store.output(3).isEmpty()
     assert len(store.vacuum()) == 1 and store.vacuum() == [] and store.output(2).count() == 2
+    store.compact()
+    assert store.output(4).isEmpty() and rows(store.marks()) == [(1, 1, 30, 2)]
+    log += [(6, 1, 1, 3, 30, ""), (7, 1, 3, 1, 10, ""), (8, 1, 1, 4, 40, "")]  # term 2 of index 3 is kept, so term 1 is old
+    assert store.run(df(), marks) == 5 and rows(store.output(5), "index", "term") == [(1, 3), (4, 1)]
     with pytest.raises(RuntimeError):
         store.log.publish(3, {})
 

@@ -143,7 +143,10 @@ class RunStore:
         return self._read(entry["run"], "marks") if entry else None
 
     def output(self, n: int) -> DataFrame:
-        return self._read(self.log.read(n)["run"], "output")
+        """What run ``n`` gave; a commit of ``compact`` gave nothing."""
+        entry = self.log.read(n)
+        rows = self._read(entry["run"], "output")
+        return rows.limit(0) if entry.get("compacted") else rows
 
     def _entries(self, folders: list[str]) -> DataFrame:
         """``store_id, index, term, seq, placed, bucket`` as the parts of several runs have them."""
@@ -206,9 +209,20 @@ class RunStore:
         marks.select("store_id", "node_id", F.greatest("max_seq", "_seq").alias("max_seq"), F.greatest("hi_term", "_term").alias("hi_term")).write.parquet(f"{self.path}/{folder}/marks")
         if fail_before_commit:
             raise RuntimeError("stopped before the commit")
+        # A commit of compact() counts among the runs' numbers.
         self.log.publish(done + 1, {"run": folder, "upto": upto, "parts": parts, "buckets": buckets})
         return done + 1
 
+    def compact(self) -> None:
+        """Join the parts of the kept entries to one, so that a run reads one for each bucket it meets."""
+        n, last = self.log.latest()
+        if last is None or len(last["parts"]) < 2:
+            return
+        rank, folder = F.coalesce("term", F.lit(LOWEST)), f"run-{uuid.uuid4().hex}"
+        rows = self._entries(last["parts"]).groupBy("bucket", "store_id", "index").agg(F.max("term").alias("term"), F.max_by("seq", rank).alias("seq"), F.max("placed").alias("placed"))
+        (rows.repartition("bucket") if last["buckets"] > 1 else rows).write.partitionBy("bucket").parquet(f"{self.path}/entries/part={folder}")
+        self.log.publish(n + 1, {**last, "parts": [folder], "compacted": True})
+
     def vacuum(self) -> list[str]:
         """Delete the folders that no commit names, those of failed runs; returns their names. Not while a run is under way."""
         named = {f for n in self.log.numbers() for e in (self.log.read(n),) for f in (e["run"], *e["parts"])}
