@@ -205,18 +205,19 @@ class Store:
             return []
         return [{"id": n, "level": level, "path": name} | {c: meta[c] for c in ("min_key", "max_key", "max_seq", "size_bytes", "n_rows")}]
 
-    def _write_files(self, rows: DataFrame, level: int) -> list[dict]:
-        """Write sorted, range-partitioned rows; every file is an entry of its own, with its own key range."""
+    def _write_files(self, rows: DataFrame, level: int, row_bytes: float) -> list[dict]:
+        """Write sorted, range-partitioned rows; every file is an entry of its own, with its own key range.
+
+        Facts come from the files' footers; ``size_bytes`` is the rows' number
+        times ``row_bytes``, as adding up their sizes while writing would cost more than the merge.
+        """
         name = f"runs/run_{self.state['next_id']:08d}_{uuid.uuid4().hex[:8]}"
-        seen = Observation()
-        self._sink(rows.observe(seen, F.sum(runs.record_size()).cast("long").alias("bytes"), F.count("*").alias("n")), name)
+        self._sink(rows, name)
         found = {f: m for f, m in self.log.footers(f"{self.path}/{name}").items() if m}
         if any("min_key" not in m for m in found.values()):
             files = runs.file_facts(self._read([name]))
         else:
-            # A file has its share of the records' bytes by its size.
-            total, stored = seen.get["bytes"] or 0, sum(m["bytes"] for m in found.values())
-            files = [{"file": f} | m | {"size_bytes": total * m.pop("bytes") // stored} for f, m in sorted(found.items(), key=lambda x: x[1]["min_key"].encode())]
+            files = [{"file": f} | m | {"size_bytes": round(m["n_rows"] * row_bytes)} for f, m in sorted(found.items(), key=lambda x: x[1]["min_key"].encode())]
         return [{"id": self.state["next_id"] + i, "level": level, "path": f"{name}/{r.pop('file')}"} | r for i, r in enumerate(files)]
 
     def _sink(self, rows: DataFrame, name: str) -> None:
@@ -290,7 +291,7 @@ class Store:
         n = max(1, -(-size // FILE_BYTES), min(self.spark.sparkContext.defaultParallelism, size // LEAST_BYTES))
         # A key has one row per input, so it needs no reduction before the shuffle: one range shuffle serves merge and order.
         rows = self._read([r["path"] for r in inputs]).repartitionByRange(n, "key")
-        made = self._write_files(runs.merged(rows, bottom), level + 1)
+        made = self._write_files(runs.merged(rows, bottom), level + 1, size / max(1, sum(r["n_rows"] for r in inputs)))
         kept = [r for r in self.state["runs"] if r["id"] not in chosen]
         kept = sorted([*kept, *made], key=lambda r: (r["level"], r["min_key"].encode() if r["level"] else b"", r["id"]))
         self._publish(runs=kept, next_id=self.state["next_id"] + max(1, len(made)))

@@ -77,7 +77,7 @@ class CommitLog:
         return sorted(s.getPath().getName() for s in at.getFileSystem(self._conf).listStatus(at) if s.isDirectory())
 
     def footers(self, path: str) -> dict[str, dict | None]:
-        """Of each Parquet file in ``path``: ``min_key, max_key, max_seq, n_rows, bytes`` as its footer tells it.
+        """Of each Parquet file in ``path``: ``min_key, max_key, max_seq, n_rows`` as its footer tells it.
 
         None for a file without rows. The driver reads footers only. Keys too
         long for a footer leave ``min_key`` out.
@@ -85,7 +85,7 @@ class CommitLog:
         reader, at = self._jvm.org.apache.parquet.hadoop.ParquetFileReader, self._jvm.org.apache.hadoop.fs.Path(path)
 
         def read(status) -> tuple[str, dict | None]:
-            facts, keys = {"n_rows": 0, "bytes": status.getLen(), "max_seq": None}, []
+            facts, keys = {"n_rows": 0, "max_seq": None}, []
             for block in reader.readFooter(self._conf, status.getPath()).getBlocks():
                 facts["n_rows"] += block.getRowCount()
                 stats = {c.getPath().toDotString(): c.getStatistics() for c in block.getColumns()}
